@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.llm import mixing, quality_rules
+from causeway.llm import mixing, quality_rules, token_output
 from causeway.llm.rows import documents
 
 
@@ -12,12 +12,22 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.read(*token_output.write(documents(spark, sf_dir), tokenizer_path()))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(documents(spark, sf_dir))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op8_mixing)}
+    return {f.__name__: f for f in (op1_quality_rules, op6_token_output, op8_mixing)}
 
 
 def oracle_sql() -> dict:
