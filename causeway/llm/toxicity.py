@@ -1,13 +1,15 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences (cut at ``.``, ``!``, ``?`` and line ends). A
-sentence's score is a logistic model over its hashed lower-cased words; the
-document's is their noisy-or, 1 - prod(1 - p). Only document labels are known:
-their likelihood is raised by gradient steps through the noisy-or, on a bounded
-sample (``PER_LABEL`` documents of each label, weighed back to the true shares).
-Words seen in fewer than ``MIN_DOCS`` sampled documents stay neutral. Scored
-documents also tell their most offending sentence (byte span) and the number of
-sentences at or above one half.
+sentence's score is a logistic model over its hashed lower-cased words and their
+beginnings (``STEMS`` bytes, for inflected words); the document's is their
+noisy-or, 1 - prod(1 - p). Only document labels are known: their likelihood is
+raised by gradient steps through the noisy-or, on a bounded sample (``PER_LABEL``
+documents of each label, weighed back to the true shares). Features whose presence
+isn't associated with the label beyond chance (G-test below ``MIN_G``, set for
+hundreds of thousands of features) or that are seen in fewer than ``MIN_DOCS``
+sampled documents stay neutral. Scored documents also tell their most offending
+sentence (byte span) and the number of sentences at or above one half.
 
 Null and empty texts have no sentence: score 0. Without labels of both kinds all
 scores are 0. A document labelled more than once is toxic if any label says so.
@@ -25,28 +27,43 @@ from pyspark.sql import functions as F
 
 from causeway.llm import linear
 from causeway.llm.rows import column, held_out
-from causeway.llm.textkernel import LOWER, Texts, batches
+from causeway.llm.textkernel import LOWER, Texts, batches, mix
+from causeway.shared import cut
 
-PER_LABEL, MIN_DOCS, BITS = 2500, 4, 18
+PER_LABEL, MIN_DOCS, MIN_G, BITS = 2500, 4, 24.0, 20
+STEMS = (3, 4, 5, 6)
 ENDS = b".!?\n\r"
 
 _END = np.isin(np.arange(256), list(ENDS))
 _NOT_WORD = np.array([not (b >= 128 or chr(b).isalnum()) for b in range(256)])
 
 
-def bag(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket of each word, its sentence, text of each sentence, sentence's first word); sentences without words don't count."""
+def bag(texts: Texts, use: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets of words and stems, their sentences, text of each sentence, each sentence's first word).
+
+    Sentences without words don't count. ``use``: the buckets that matter.
+    """
     if not len(texts.data):
         return (np.zeros(0, np.int64),) * 4
     data = LOWER[texts.data]
     start, end, first = texts.runs(_NOT_WORD[data])
-    bucket = (texts.spans(texts.prefix(data), start, end) >> np.uint64(64 - BITS)).astype(np.int64)
+    prefix = texts.prefix(data)
     ends = np.zeros(len(data) + 1, np.int64)
     np.cumsum(_END[data], out=ends[1:])
     owner = np.repeat(np.arange(texts.n), np.diff(first))
     new = np.ones(len(start), bool)
     new[1:] = (np.diff(ends[start]) > 0) | (np.diff(owner) > 0)
-    return bucket, np.cumsum(new) - 1, owner[new], np.flatnonzero(new)
+    sentence, buckets, of = np.cumsum(new) - 1, [], []
+    for k in (0, *STEMS):
+        some = np.flatnonzero(end - start > k)
+        code = texts.spans(prefix, start[some], start[some] + k if k else end[some])
+        bucket = (mix(code + np.uint64(k)) >> np.uint64(64 - BITS)).astype(np.int64)
+        if use is not None:
+            kept = use[bucket]
+            bucket, some = bucket[kept], some[kept]
+        buckets.append(bucket)
+        of.append(sentence[some])
+    return np.concatenate(buckets), np.concatenate(of), owner[new], np.flatnonzero(new)
 
 
 class Model:
@@ -56,7 +73,7 @@ class Model:
     def score(self, texts: Texts) -> dict[str, np.ndarray]:
         n = texts.n
         out = {"score": np.zeros(n), "n_sentences": np.zeros(n, np.int64), "n_offending": np.zeros(n, np.int64), "worst": np.full(n, -1), "worst_score": np.zeros(n), "worst_start": np.full(n, -1), "worst_end": np.full(n, -1)}
-        bucket, sentence, owner, first = bag(texts)
+        bucket, sentence, owner, first = bag(texts, None if self.weights is None else self.weights != 0)
         if self.weights is None or not len(owner):
             return out
         p = linear.sigmoid(np.bincount(sentence, self.weights[bucket], len(owner)) + self.bias)
@@ -75,15 +92,18 @@ class Model:
         return out
 
 
-def fit(bucket: np.ndarray, sentence: np.ndarray, owner: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 150, rate: float = 0.15, decay: float = 2e-4, min_docs: int = MIN_DOCS) -> Model:
+def associated(docs_of: np.ndarray, toxic_of: np.ndarray, share: float, min_docs: int = MIN_DOCS, min_g: float = MIN_G) -> np.ndarray:
+    """Which features' document counts differ between the labels beyond chance."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = 2 * sum(np.where(k > 0, k * np.log(k / (docs_of * q)), 0.0) for k, q in ((toxic_of, share), (docs_of - toxic_of, 1 - share)))
+    return (docs_of >= min_docs) & (g >= min_g)
+
+
+def fit(bucket: np.ndarray, sentence: np.ndarray, owner: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 150, rate: float = 0.15, decay: float = 2e-4) -> Model:
     """Gradient steps (Adam) on the noisy-or likelihood of bags."""
-    n_docs = len(y)
-    pairs = np.unique(bucket * n_docs + owner[sentence])
-    docs_of = np.bincount(pairs // n_docs, minlength=1 << BITS)
-    use = docs_of[bucket] >= min_docs
-    names, word = np.unique(bucket[use], return_inverse=True)
-    sentence = sentence[use]
-    w, b, n_s = np.zeros(len(names)), -5.0, len(owner)
+    n_docs, n_s = len(y), len(owner)
+    names, word = np.unique(bucket, return_inverse=True)
+    w, b = np.zeros(len(names)), -5.0
     m, v, mb, vb = np.zeros(len(names)), np.zeros(len(names)), 0.0, 0.0
     weight = weight / weight.sum()
     for t in range(1, rounds + 1):
@@ -104,32 +124,51 @@ def fit(bucket: np.ndarray, sentence: np.ndarray, owner: np.ndarray, y: np.ndarr
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
-    """Bags of at most about ``per_label`` documents of each label reach the driver."""
+    """At most about ``per_label`` documents of each label are used.
+
+    Executors count features (one number per bucket and label comes back), then
+    send the sampled bags, reduced to the associated buckets.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = linear.bounded_sample(known, "toxic", per_label, "toxicity")
+    rows = cut(docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id", "toxic", "sample_weight").agg(F.min("text").alias("text")))
+    totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    if len(totals) < 2:
+        return Model(None, 0.0)
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 1 << BITS), np.int64)
         for batch in it:
-            rows = []
+            toxic = (column(batch, "toxic").to_numpy() > 0).astype(int)
             for t in batches(column(batch, "text")):
                 bucket, sentence, owner, _ = bag(t)
-                cuts = np.searchsorted(owner[sentence], np.arange(t.n + 1))
-                rows += [(bucket[a:b].astype(np.int32).tobytes(), (sentence[a:b] - (sentence[a] if b > a else 0)).astype(np.int32).tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "toxic"), column(batch, "sample_weight"), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "toxic", "sample_weight", "words", "sentences"])
+                pairs = np.unique(owner[sentence] * (1 << BITS) + bucket)
+                np.add.at(total, (toxic[t.first + (pairs >> BITS)], pairs & ((1 << BITS) - 1)), 1)
+        seen = np.flatnonzero(total.sum(0))
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[0, seen]), pa.array(total[1, seen])], ["bucket", "clean", "toxic"])
 
-    got = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "text", "toxic", "sample_weight").mapInArrow(run, "doc_id long, toxic int, sample_weight double, words binary, sentences binary").toPandas().sort_values(["doc_id", "words"]).drop_duplicates("doc_id")
-    if got["toxic"].nunique() < 2:
-        return Model(None, 0.0)
-    words, owner, at = [], [], 0
-    sentences = []
-    for i, (w, s) in enumerate(zip(got["words"], got["sentences"])):
-        w, s = np.frombuffer(w, np.int32), np.frombuffer(s, np.int32)
-        n = int(s[-1]) + 1 if len(s) else 0
-        words.append(w)
-        sentences.append(s.astype(np.int64) + at)
-        owner.append(np.full(n, i))
-        at += n
-    return fit(np.concatenate(words).astype(np.int64), np.concatenate(sentences), np.concatenate(owner), got["toxic"].to_numpy(), got["sample_weight"].to_numpy())
+    counts = rows.select("toxic", "text").mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("clean") + F.col("toxic") >= MIN_DOCS).toPandas()
+    use = np.zeros(1 << BITS, bool)
+    use[counts["bucket"].to_numpy()] = associated((counts["clean"] + counts["toxic"]).to_numpy(float), counts["toxic"].to_numpy(float), totals[1] / (totals[0] + totals[1]))
+
+    def bags(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            found = []
+            for t in batches(column(batch, "text")):
+                bucket, sentence, owner, _ = bag(t, use)
+                first = np.searchsorted(owner, np.arange(t.n + 1))
+                order = np.argsort(sentence, kind="stable")
+                bucket, sentence = bucket[order], sentence[order]
+                cuts = np.searchsorted(sentence, first)
+                found += [(bucket[a:b].astype(np.int32).tobytes(), (sentence[a:b] - first[i]).astype(np.int32).tobytes(), int(first[i + 1] - first[i])) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))]
+            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("doc_id", "toxic", "sample_weight")), *(pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.binary(), pa.binary(), pa.int64())))], ["doc_id", "toxic", "sample_weight", "words", "sentences", "n"])
+
+    got = rows.mapInArrow(bags, "doc_id long, toxic int, sample_weight double, words binary, sentences binary, n long").toPandas().sort_values("doc_id")
+    n = got["n"].to_numpy()
+    at = np.cumsum(n) - n
+    words = np.frombuffer(b"".join(got["words"]), np.int32).astype(np.int64)
+    sentences = np.concatenate([np.frombuffer(s, np.int32) + a for s, a in zip(got["sentences"], at)]).astype(np.int64)
+    return fit(words, sentences, np.repeat(np.arange(len(n)), n), got["toxic"].to_numpy(), got["sample_weight"].to_numpy())
 
 
 _OUT = {"score": "double", "predicted": "int", "n_sentences": "long", "n_offending": "long", "worst": "long", "worst_score": "double", "worst_start": "long", "worst_end": "long"}
