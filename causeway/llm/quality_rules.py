@@ -48,8 +48,8 @@ RULES = {
 }
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
 
-_IS_SYMBOL = np.isin(np.arange(256), [ord(c) for c in SYMBOLS])
-_IS_CAPITAL = (np.arange(256) >= ord("A")) & (np.arange(256) <= ord("Z"))
+IS_SYMBOL = np.isin(np.arange(256), [ord(c) for c in SYMBOLS])
+IS_CAPITAL = (np.arange(256) >= ord("A")) & (np.arange(256) <= ord("Z"))
 
 
 def _repeats(texts: Texts, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +92,7 @@ def measure(texts: Texts) -> dict[str, np.ndarray]:
     n_words, repeated = _repeats(texts, prefix)
     n_lines, dup = _lines(texts, prefix)
     chars = texts.sums(LEADS[data] & ~SPACE[data])
-    return {"n_words": n_words, "word_chars": chars, "n_symbols": texts.sums(_IS_SYMBOL[data]), "n_dup_lines": dup, "n_repeat_words": repeated, "n_lines": n_lines, "n_capitals": texts.sums(_IS_CAPITAL[data])}
+    return {"n_words": n_words, "word_chars": chars, "n_symbols": texts.sums(IS_SYMBOL[data]), "n_dup_lines": dup, "n_repeat_words": repeated, "n_lines": n_lines, "n_capitals": texts.sums(IS_CAPITAL[data])}
 
 
 def statistics(docs: DataFrame, text="text", doc_id="doc_id", stratum="lang") -> DataFrame:

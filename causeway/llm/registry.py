@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.llm import language_id, mixing, quality_rules, token_output, toxicity
+from causeway.llm import language_id, mixing, quality_rules, token_output, toxicity, weak_labels
 from causeway.llm.rows import documents
 
 
@@ -12,6 +12,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+def op3_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_labels.classify(documents(spark, sf_dir))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
 
@@ -35,7 +39,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op4_language_id, op5_toxicity, op6_token_output, op8_mixing)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_weak_labels, op4_language_id, op5_toxicity, op6_token_output, op8_mixing)}
 
 
 def oracle_sql() -> dict:
