@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from causeway.llm import language_id, mixing, quality_rules, token_output, toxicity, weak_labels
+from causeway.llm import decontaminate, language_id, mixing, quality_rules, token_output, toxicity, url_lists, weak_labels
 from causeway.llm.rows import documents
 
 
@@ -38,9 +39,18 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(documents(spark, sf_dir))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.search(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+def op10_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = documents(spark, sf_dir, "pages").select("page_id", "url")
+    return url_lists.judge(pages.withColumn("fetched", url_lists.capture_day(F.col("page_id"))), url_lists.derived_entries(pages))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op3_weak_labels, op4_language_id, op5_toxicity, op6_token_output, op8_mixing)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_weak_labels, op4_language_id, op5_toxicity, op6_token_output, op8_mixing, op9_decontaminate, op10_url_lists)}
 
 
 def oracle_sql() -> dict:
-    return {"op8_mixing": mixing.oracle()}
+    return {"op8_mixing": mixing.oracle(), "op10_url_lists": url_lists.oracle()}

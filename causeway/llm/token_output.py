@@ -4,7 +4,7 @@ Texts are encoded with the tokenizers library on the executors. A word between
 ASCII spaces is encoded on its own (the vocabulary's splitting never joins
 characters across white space, so the ids are those of the whole text; a test
 holds this against the library), and each worker remembers the words that it has
-seen, up to ``MEMO`` of them. Counts of all ids give one table of frequencies,
+seen, up to twice ``MEMO`` of them. Counts of all ids give one table of frequencies,
 whose size is the vocabulary's. Documents are range-partitioned by id, encoded
 block by block and written by Spark; ``read`` decodes the files.
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +32,12 @@ from causeway.shared import table as stored
 
 END = 1
 BLOCK = 1 << 18
-MEMO = 600_000
+MEMO = 500_000
 NO_ID = -(1 << 63)
 
 
 class Words(dict):
-    """word -> bytes of its ids (uint32), encoded by the library a batch at a time."""
+    """word -> bytes of its ids, encoded by the library a batch at a time; two generations of ``MEMO`` words at most."""
 
     def __init__(self, path: str):
         import os
@@ -45,30 +46,53 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.library, self.cores = Tokenizer.from_file(path), {}
+        self.library, self.old = Tokenizer.from_file(path), {}
+        self.kind = id_type(self.library.get_vocab_size(True))
 
-    def learn(self, words: list[bytes]) -> None:
-        """Words go to the library joined by spaces; offsets give each its ids."""
+    def learn(self, words: list[bytes], single: bool) -> None:
+        """Words go to the library joined by spaces; what it says of each id's place gives each word its own.
+
+        ``single``: words of letters only, which the vocabulary never splits before encoding.
+        """
         for lo in range(0, len(words), 256):
-            part = [w.decode("utf-8") for w in words[lo : lo + 256]]
-            got = self.library.encode(" ".join(part), add_special_tokens=False)
-            begin = np.cumsum([0, *(len(w) + 1 for w in part)])
-            owner = np.searchsorted(begin, [a for a, _ in got.offsets], "right") - 1
-            edges, ids = np.searchsorted(owner, np.arange(len(part) + 1)), np.array(got.ids, "<u4")
-            self.cores.update((w, ids[edges[i] : edges[i + 1]].tobytes()) for i, w in enumerate(words[lo : lo + 256]))
+            part = words[lo : lo + 256]
+            text = [w.decode("utf-8") for w in part]
+            got = self.library.encode(" ".join(text), add_special_tokens=False)
+            if single:
+                owner = np.array(got.word_ids)
+            else:
+                begin = np.cumsum([0, *(len(w) + 1 for w in text)])
+                owner = np.searchsorted(begin, [a for a, _ in got.offsets], "right") - 1
+            edges, ids = (self.kind.itemsize * np.searchsorted(owner, np.arange(len(part) + 1))).tolist(), np.array(got.ids, self.kind).tobytes()
+            self.update(zip(part, map(ids.__getitem__, map(slice, edges, edges[1:]))))
 
     def add(self, words: set[bytes]) -> None:
         """Trailing punctuation behind an ASCII letter or digit is a word of its own to the vocabulary."""
-        if len(self) + len(words) > MEMO:
+        if len(self) > MEMO:
+            self.old = dict(self)
             self.clear()
-            self.cores.clear()
-        split = {}
+        if self.old:
+            words = set(words)
+            again = words & self.old.keys()
+            self.update((w, self.old[w]) for w in again)
+            words -= again
+        split, whole = [], []
         for w in words:
             core = w.rstrip(b".,;:!?")
-            split[w] = (core, w[len(core) :]) if core and len(core) < len(w) and core[-1:].isalnum() and b"<|" not in w else (w, b"")
-        self.learn([w for w in {x for pair in split.values() for x in pair if x} if w not in self.cores])
-        cores = self.cores
-        self.update((w, cores[a] + cores[b] if b else cores[a]) for w, (a, b) in split.items())
+            if len(core) < len(w) and core[-1:].isalnum() and b"<|" not in w:
+                split.append((w, core, w[len(core) :]))
+            else:
+                whole.append(w)
+        whole += {x for _, *pair in split for x in pair if x not in self} - set(whole)
+        letters = [w for w in whole if w.isalpha() or (w[-1] >= 128 and w.decode("utf-8").lower().isalpha())]
+        self.learn(letters, True)
+        self.learn(list(set(whole).difference(letters)), False)
+        self.update((w, self[a] + self[b]) for w, a, b in split)
+
+
+def id_type(size: int) -> np.dtype:
+    """How ids of a vocabulary are kept between the steps."""
+    return np.dtype("<u2" if size <= 1 << 16 else "<u4")
 
 
 @lru_cache(1)
@@ -77,25 +101,24 @@ def words_of(path: str) -> Words:
 
 
 def encode_texts(texts: list[bytes], path: str) -> list[bytes]:
-    """Ids (uint32, little-endian) of each UTF-8 text, without an end id."""
+    """Ids of each UTF-8 text (of ``words_of(path).kind``), without an end id."""
     known = words_of(path)
     lists = [(t if b"<|" in t else t.lower()).split() for t in texts]
     new: set[bytes] = set()
     for x in lists:
         new.update(x)
-    new.difference_update(known)
-    if new:
-        if len(known) + len(new) > MEMO:  # start afresh with what these texts need
-            new = {w for x in lists for w in x}
+    if len(known) > MEMO:
         known.add(new)
+    else:
+        known.add(set(filterfalse(known.__contains__, new)))
     return [b"".join(map(known.__getitem__, x)) for x in lists]
 
 
 def tokenize(docs: DataFrame, path: str, text="text", doc_id="doc_id", end: int | None = END) -> DataFrame:
-    """(doc_id, ids): ids as little-endian uint32, the end id last."""
-    last = b"" if end is None else np.array([end], "<u4").tobytes()
+    """(doc_id, ids): ids little-endian, of the vocabulary's type, the end id last."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = b"" if end is None else np.array([end], words_of(path).kind).tobytes()
         for batch in it:
             for lo in range(0, batch.num_rows, 250):
                 some = batch.slice(lo, 250)
@@ -106,14 +129,14 @@ def tokenize(docs: DataFrame, path: str, text="text", doc_id="doc_id", end: int
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
-def count_ids(tokens: DataFrame) -> np.ndarray:
+def count_ids(tokens: DataFrame, kind: np.dtype) -> np.ndarray:
     """Counts by id over all documents; one row per task and id is shuffled."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in it:
             for x in column(batch, "ids"):
-                got = np.bincount(np.frombuffer(x.as_buffer(), "<u4"))
+                got = np.bincount(np.frombuffer(x.as_buffer(), kind))
                 if len(got) > len(total):
                     total = np.pad(total, (0, len(got) - len(total)))
                 total[: len(got)] += got
@@ -126,27 +149,27 @@ def count_ids(tokens: DataFrame) -> np.ndarray:
     return out
 
 
-def encode(tokens: DataFrame, freq: Table) -> DataFrame:
+def encode(tokens: DataFrame, freq: Table, kind: np.dtype) -> DataFrame:
     """(range_no, block_no, first_doc, n_ids, block), blocks in ascending doc_id order."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, docs, rows, size, no = ["range_no", "block_no", "first_doc", "n_ids", "block"], [], [], 0, 0
 
         def block() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(rows), "<u4")
-            data = encode_block(np.array(docs, np.int64), np.array([len(r) // 4 for r in rows]), ids, freq)
+            ids = np.frombuffer(b"".join(rows), kind)
+            data = encode_block(np.array(docs, np.int64), np.array([len(r) // kind.itemsize for r in rows]), ids, freq)
             return pa.RecordBatch.from_arrays([pa.array([range_no], pa.int32()), pa.array([no], pa.int32()), pa.array([docs[0]], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary())], names)
 
         for batch in it:
             range_no = batch.column(0)[0].as_py() if batch.num_rows else 0
             for doc, ids in zip(column(batch, "doc_id").to_pylist(), column(batch, "ids")):
                 ids = ids.as_buffer().to_pybytes()
-                if rows and size + len(ids) // 4 > BLOCK:
+                if rows and size + len(ids) // kind.itemsize > BLOCK:
                     yield block()
                     docs, rows, size, no = [], [], 0, no + 1
                 docs.append(NO_ID if doc is None else doc)
                 rows.append(ids)
-                size += len(ids) // 4
+                size += len(ids) // kind.itemsize
         if rows:
             yield block()
 
@@ -157,8 +180,9 @@ def encode(tokens: DataFrame, freq: Table) -> DataFrame:
 def write(docs: DataFrame, path: str, name="token-blocks", **columns) -> tuple[DataFrame, Table]:
     """The written blocks and their table of frequencies."""
     tokens = stored(tokenize(docs, path, **columns), "token-ids")
-    freq = Table.of(count_ids(tokens))
-    return stored(encode(tokens, freq), name, codec="uncompressed"), freq
+    kind = words_of(path).kind
+    freq = Table.of(count_ids(tokens, kind))
+    return stored(encode(tokens, freq, kind), name, codec="uncompressed"), freq
 
 
 def read(blocks: DataFrame, freq: Table) -> DataFrame:
