@@ -3,9 +3,9 @@
 Test items are indexed by word; an item's BM25 impacts are divided by its score
 against itself, so 1 means that a passage has all its words. Every document is cut
 into overlapping passages (twice as long as the longest item of the index, half a
-passage apart, so each item fits into one whole). Every passage is a query: sums of
-its rarer words' largest impacts, taken for all passages of a batch at once, discard
-most (their bound counts what frequent words could add to any item);
+passage apart, so each item fits into one whole). Every passage is a query: block
+maxima of its rarer words' impacts, summed for all passages of a batch at once,
+discard most (the bound counts what frequent words could add to an item);
 block-max WAND then retrieves all items at or above ``THRESHOLD``. A retrieved item
 counts if the passage has at least ``OVERLAP`` of the 5-grams of its question (all
 but its last sentence) and of its answer (the last sentence, or the last quarter of
@@ -36,7 +36,7 @@ from causeway.llm.textkernel import LOWER, Texts, batches, windows
 
 THRESHOLD, OVERLAP, GRAM = 0.6, 0.5, 5
 K1, B = 1.2, 0.75
-SHARD, POSTINGS = 20_000, 32
+SHARD, POSTINGS, GROUP = 20_000, 32, 4
 
 _NOT_WORD = np.array([not (b >= 128 or chr(b).isalnum()) for b in range(256)])
 _END = np.isin(np.arange(256), list(b".!?\n"))
@@ -84,7 +84,8 @@ class Index:
         self.impact, self.item = raw / own[item], item
         self.at = np.concatenate([[0], np.cumsum(df)])
         self.most = np.maximum.reduceat(self.impact, self.at[:-1]) if len(term) else np.zeros(0)
-        self.lasting: dict[float, np.ndarray] = {}
+        self.lasting: dict[float, tuple] = {}
+        self.blocks = -(-self.n // GROUP)
         self.filter = np.zeros(1 << 16, bool)
         self.filter[(self.vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
 
@@ -97,12 +98,12 @@ class Index:
         hit = self.vocabulary[term] == codes[at]
         return at[hit], term[hit]
 
-    def values(self, least: float) -> np.ndarray:
-        """By term, so that a passage with an item of at least ``least`` has terms of 1 in total, or more.
+    def values(self, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per term, blocks of ``GROUP`` items and worths: a passage with an item of at least ``least`` has terms worth 1 or more in its block.
 
         Frequent terms are worth nothing as long as no item gets more than half of
         ``least`` from them; what an item still needs then, ``rest``, must come
-        from its other terms, each worth its largest impact / rest.
+        from its other terms, each worth its largest impact / rest in the block.
         """
         if least not in self.lasting:
             common, free = np.zeros(self.n), np.zeros(len(self.vocabulary), bool)
@@ -111,10 +112,26 @@ class Index:
                 if (common[self.item[span]] + self.impact[span] <= least / 2).all():
                     common[self.item[span]] += self.impact[span]
                     free[t] = True
-            worth = np.maximum.reduceat(self.impact / (least - 1e-9 - common[self.item]), self.at[:-1]) if len(self.item) else np.zeros(0)
-            self.lasting[least] = np.where(free, 0.0, worth)
+            term = np.repeat(np.arange(len(self.vocabulary)), np.diff(self.at))
+            worth, kept = self.impact / (least - 1e-9 - common[self.item]), ~free[term]
+            block, edge = np.unique(term[kept] * self.blocks + self.item[kept] // GROUP, return_index=True)
+            most = np.maximum.reduceat(worth[kept], edge) if len(edge) else np.zeros(0)
+            self.lasting[least] = (np.searchsorted(block // self.blocks, np.arange(len(self.vocabulary) + 1)), block % self.blocks, most)
         return self.lasting[least]
 
+    def candidates(self, passage: np.ndarray, term: np.ndarray, least: float) -> np.ndarray:
+        """Passages that may have an item of at least ``least``, by block maxima summed for all passages at once."""
+        at, block, most = self.values(least)
+        pairs = np.unique(passage * len(self.vocabulary) + term)
+        passage, term = pairs // len(self.vocabulary), pairs % len(self.vocabulary)
+        n = at[term + 1] - at[term]
+        entry = np.repeat(at[term] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        key = np.repeat(passage, n) * self.blocks + block[entry]
+        order = np.argsort(key, kind="stable")
+        key, edge = np.unique(key[order], return_index=True)
+        total = np.add.reduceat(most[entry][order], edge) if len(edge) else np.zeros(0)
+        return np.unique(key[total >= 1 - 1e-6] // self.blocks)
+
     def wand(self, terms: np.ndarray, least: float) -> list[tuple[int, float]]:
         """All (item, score) of at least ``least`` for a query of distinct terms, by block-max WAND."""
         least -= 1e-9
@@ -178,23 +195,19 @@ class Index:
         size, step = 2 * self.stride, self.stride
         counts = np.maximum(1, -(-np.diff(first) // step) - 1)  # passages of each text; the last one reaches its end
         base = np.concatenate([[0], np.cumsum(counts)])
-        worth = self.values(threshold)[term]
-        some = worth > 0
-        text = np.searchsorted(first, at[some], "right") - 1
-        step_no = (at[some] - first[text]) // step
+        rare = np.diff(self.values(threshold)[0])[term] > 0
+        text = np.searchsorted(first, at[rare], "right") - 1
+        step_no = (at[rare] - first[text]) // step
         late, early = np.minimum(step_no, counts[text] - 1), step_no - 1
-        bound = np.bincount(base[text] + late, worth[some], base[-1])
         twice = (early >= 0) & (early != late)
-        bound += np.bincount((base[text] + early)[twice], worth[some][twice], base[-1])
+        passages = np.concatenate([base[text] + late, (base[text] + early)[twice]])
         best: dict = {}
-        for p in np.flatnonzero(bound >= 1 - 1e-9).tolist():
+        for p in self.candidates(passages, np.concatenate([term[rare], term[rare][twice]]), threshold).tolist():
             i = int(np.searchsorted(base, p, "right")) - 1
             lo = int(first[i]) + (p - int(base[i])) * step
             hi = min(lo + size, int(first[i + 1]))
             a, b = np.searchsorted(at, [lo, hi])
             distinct = np.unique(term[a:b])
-            if self.values(threshold)[distinct].sum() < 1 - 1e-9:
-                continue
             made: dict = {}
             for item, score in self.wand(distinct, threshold):
                 shares = []
@@ -225,6 +238,7 @@ def search(docs: DataFrame, benchmark: DataFrame, text="text", doc_id="doc_id",
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema, out = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, passage_start long", None
     for index in indices(benchmark, **sizes):
+        index.values(threshold)  # made once, sent along
         ship = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(it: Iterator[pa.RecordBatch], ship=ship) -> Iterator[pa.RecordBatch]:
@@ -242,6 +256,7 @@ def search(docs: DataFrame, benchmark: DataFrame, text="text", doc_id="doc_id",
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold=THRESHOLD, overlap=OVERLAP, **sizes) -> DataFrame:
     """The documents without a hit, all columns as given."""
     for index in indices(benchmark, **sizes):
+        index.values(threshold)  # made once, sent along
         ship = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(it: Iterator[pa.RecordBatch], ship=ship) -> Iterator[pa.RecordBatch]:
