@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import decontaminate, language_id, mixing, quality_rules, token_output, toxicity, url_lists, weak_labels
+from causeway.llm import decontaminate, jaccard_join, language_id, mixing, quality_rules, token_output, toxicity, url_lists, weak_labels
 from causeway.llm.rows import documents
 
 
@@ -35,6 +35,10 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read(*token_output.write(documents(spark, sf_dir), tokenizer_path()))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(documents(spark, sf_dir))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(documents(spark, sf_dir))
 
@@ -49,7 +53,7 @@ def op10_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op3_weak_labels, op4_language_id, op5_toxicity, op6_token_output, op8_mixing, op9_decontaminate, op10_url_lists)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_weak_labels, op4_language_id, op5_toxicity, op6_token_output, op7_jaccard_join, op8_mixing, op9_decontaminate, op10_url_lists)}
 
 
 def oracle_sql() -> dict:
