@@ -346,7 +346,11 @@ def link(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component (the one with the least doc_id), columns as given; of repeated rows one stays."""
-    found = link(docs).select(F.col("doc_id").alias("kept_id"), "component_id").where("kept_id = component_id OR kept_id IS NULL").select("kept_id").distinct()
-    kept = docs.join(found, docs["doc_id"].eqNullSafe(found["kept_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One document of each component (the one with the least doc_id), columns as given.
+
+    Of repeated rows (doc_id and text alike) one stays. Rows without a doc_id all stay.
+    """
+    found = table(link(docs), "components").where("doc_id IS NOT NULL")
+    gone = found.groupBy("doc_id").agg(F.min((F.col("doc_id") != F.col("component_id")).cast("int")).alias("gone"), F.count("*").alias("rows"))
+    kept = docs.join(gone.where("gone = 1").select(F.col("doc_id").alias("gone_id")), F.col("gone_id") == docs["doc_id"], "left_anti")
+    return kept.dropDuplicates(["doc_id", "text"]) if gone.where("rows > 1 AND gone = 0").limit(1).count() else kept

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import decontaminate, jaccard_join, language_id, mixing, quality_rules, token_output, toxicity, url_lists, weak_labels
+from causeway.llm import decontaminate, jaccard_join, language_id, mixing, quality_rules, substring_dedup, token_output, toxicity, url_lists, weak_labels
 from causeway.llm.rows import documents
 
 
@@ -13,6 +13,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove(documents(spark, sf_dir))
+
+
 def op3_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_labels.classify(documents(spark, sf_dir))
 
@@ -53,7 +57,7 @@ def op10_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op3_weak_labels, op4_language_id, op5_toxicity, op6_token_output, op7_jaccard_join, op8_mixing, op9_decontaminate, op10_url_lists)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_weak_labels, op4_language_id, op5_toxicity, op6_token_output, op7_jaccard_join, op8_mixing, op9_decontaminate, op10_url_lists)}
 
 
 def oracle_sql() -> dict:
