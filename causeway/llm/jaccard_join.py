@@ -2,11 +2,16 @@
 
 1. Documents with equal sets form a class; only classes go on.
 2. Candidates: sets with similarity >= t share one of their first
-   ``n - ceil(t n) + 1`` shingles in any common order. Shingles that turned up often
-   go last in that order (a bounded list, which changes speed but not results), the
-   rest by hash. Shingles travel packed per batch and bucket. Of the sets that share
-   one, neighbours by size within the ratio t are joined by an edge, so that every
-   pair that may link stays in one connected component of edges.
+   ``n - ceil(t n) + 1`` shingles in any common order. In ours, shingles of rare words
+   come first, those of frequent words later, shingles that turned up often last
+   (bounded lists of both, which change speed but not results), and the rest goes by
+   hash; so few shingles are shared by chance. Shingles travel packed per batch and
+   bucket. Sets with a shared one send a parity signature (a bit per shingle hash, at
+   least as many bits as shingles, XORed) to the buckets where they share it; the
+   bits in which two signatures differ are no more than the shingles in which the
+   sets differ, so pairs beyond the greatest allowed difference are dropped there,
+   in memory. What is left are edges, reduced to a forest per bucket; every pair that
+   may link stays in one connected component of edges.
 3. Join: each candidate's set is sent once, to its component. There a signature
    tree holds OR-combined token bitmaps, size ranges and the most by which a set
    exceeds its bits; a dual traversal drops node pairs whose greatest possible
@@ -34,14 +39,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.llm.rows import column, parts
-from causeway.llm.textkernel import batches, mix, shingle_sets
+from causeway.llm.textkernel import LOWER, Texts, batches, mix, shingle_sets, windows
 from causeway.operators.components import connected_components
 from causeway.shared import cut, table
 
 #: Similarity as a fraction, words of a shingle.
 T_NUM, T_DEN, K = 3, 4, 5
 #: Sets of a component that one task compares; shingles packed before they are sent; length of the list of frequent shingles.
-CHUNK, PACK, FREQUENT = 3000, 1 << 20, 100_000
+CHUNK, PACK, FREQUENT, COMMON = 3000, 1 << 20, 100_000, 50_000
 
 
 def prefix_size(n: np.ndarray) -> np.ndarray:
@@ -58,22 +63,79 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(x) for x in np.array([mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64)]).view(np.int64))
 
 
+class Order:
+    """Ranks of shingles: the levels of common words, and shingles that go last."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, late: np.ndarray):
+        order = np.argsort(words)
+        self.words, self.late = words[order], np.sort(late)
+        per_million = counts[order] * 1e6 / max(1, total)
+        self.level = np.clip(np.round(1.7 * np.log2(np.maximum(per_million, 1))), 0, 25).astype(np.int64)
+
+    def sets(self, texts: Texts) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per text, its sorted distinct shingles and their ranks (uint8), the same in every text."""
+        start, end, first = texts.words()
+        if not len(start):
+            return [(np.zeros(0, np.uint64), np.zeros(0, np.uint8))] * texts.n
+        codes = texts.spans(texts.prefix(LOWER[texts.data]), start, end)
+        rows, at = windows(codes, first, K)
+        level = np.zeros(len(codes) + 1, np.int64)
+        if len(self.words):
+            place = np.minimum(np.searchsorted(self.words, codes), len(self.words) - 1)
+            np.cumsum(np.where(self.words[place] == codes, self.level[place], 0), out=level[1:])
+        size = np.diff(at)
+        begin = np.repeat(first[:-1], size) + np.arange(len(rows)) - np.repeat(at[:-1], size)
+        rank = (level[begin + K] - level[begin]).astype(np.uint8)
+        if len(self.late):
+            rank[self.late[np.minimum(np.searchsorted(self.late, rows), len(self.late) - 1)] == rows] = 255
+        out = []
+        for i in range(texts.n):
+            n = int(first[i + 1] - first[i])
+            if n >= K:
+                x = rows[at[i] : at[i + 1]]
+                order = np.argsort(x)
+                x = x[order]
+                new = np.concatenate([[True], x[1:] != x[:-1]])
+                out.append((x[new], rank[at[i] : at[i + 1]][order][new]))
+            else:
+                x = windows(codes[first[i] : first[i + 1]], np.array([0, n]), n)[0] if n else np.zeros(0, np.uint64)
+                out.append((x, np.zeros(len(x), np.uint8)))
+        return out
+
+
 def measure(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, f1, f2) of documents, and (null, count, shingle, null) of shingles found in several sets of a batch."""
+    """Rows of kind 0 (doc_id, n, f1, f2) for documents, 1 and 2 (null, count, hash, null) for shingles in several sets of a batch and for words frequent in it, 3 for its number of words."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "f1", "f2", "is_doc"]
+        names = ["doc_id", "n", "f1", "f2", "kind"]
+
+        def counts(code: np.ndarray, n: np.ndarray, kind: int) -> pa.RecordBatch:
+            k = len(code)
+            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(n.astype(np.int64)), pa.array(code.view(np.int64)), pa.nulls(k, pa.int64()), pa.array(np.full(k, kind, np.int32))], names)
+
         for batch in it:
-            sets = [s for t in batches(column(batch, "text")) for s in shingle_sets(t, K)]
+            sets, words = [], []
+            for t in batches(column(batch, "text")):
+                sets += shingle_sets(t, K)
+                start, end, _ = t.words()
+                words.append(t.spans(t.prefix(LOWER[t.data]), start, end) if len(start) else np.zeros(0, np.uint64))
             f = [fingerprint(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in f], pa.int64()), pa.array([x for _, x in f], pa.int64()), pa.array([True] * len(sets), pa.bool_())], names)
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in f], pa.int64()), pa.array([x for _, x in f], pa.int64()), pa.array(np.zeros(len(sets), np.int32))], names)
             once = list({x: s for x, s in zip(f, sets)}.values())
-            token, n = np.unique(np.concatenate(once), return_counts=True) if once else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often = n > 3
-            k = int(often.sum())
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(n[often], pa.int64()), pa.array(token[often].view(np.int64)), pa.nulls(k, pa.int64()), pa.array([False] * k, pa.bool_())], names)
+            for kind, data, least in ((1, np.concatenate(once) if once else np.zeros(0, np.uint64), 4), (2, np.concatenate(words) if words else np.zeros(0, np.uint64), 8)):
+                code, n = np.unique(data, return_counts=True)
+                yield counts(code[n >= least], n[n >= least], kind)
+            yield counts(np.zeros(1, np.uint64), np.array([sum(map(len, words))]), 3)
+
+    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, kind int")
+
 
-    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, is_doc boolean")
+def order_of(seen: DataFrame) -> Order:
+    """At most ``COMMON`` words and ``FREQUENT`` shingles reach the driver."""
+    top = {kind: seen.where(F.col("kind") == kind).groupBy("f1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "f1").limit(most).toPandas() for kind, most in ((1, FREQUENT), (2, COMMON))}
+    total = seen.where("kind = 3").agg(F.sum("n")).first()[0] or 0
+    code = {kind: t["f1"].to_numpy(np.int64).view(np.uint64) for kind, t in top.items()}
+    return Order(code[2], top[2]["n"].to_numpy(float), total, code[1])
 
 
 def _least_label(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -91,10 +153,10 @@ def _least_label(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def candidate_edges(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(src, dst) between classes, packed candidates grouped by bucket."""
+def shared_lists(docs: DataFrame, order: Order) -> DataFrame:
+    """One row per bucket: lists of classes of like size that share a prefix shingle."""
     spark = docs.sparkSession
-    buckets, ship = parts(spark), spark.sparkContext.broadcast(np.sort(frequent))
+    buckets, ship = parts(spark), spark.sparkContext.broadcast(order)
 
     def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[int, np.ndarray]] = {}
@@ -115,27 +177,20 @@ def candidate_edges(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     out.append((k, token[at].tobytes(), local.astype(np.uint32 if len(who) > 65535 else np.uint16).tobytes(), cid[who].tobytes(), n[who].tobytes()))
             return pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int32() if j == 0 else pa.binary()) for j in range(5)], ["bucket", "token", "local", "cid", "n"])
 
-        hot = ship.value
         for batch in it:
             for t in batches(column(batch, "text")):
-                for s in shingle_sets(t, K):
-                    if not len(s) or (key := fingerprint(s)[0]) in held:
-                        continue
-                    first = int(prefix_size(np.array(len(s))))
-                    if len(hot):
-                        late = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
-                        chosen = s[np.argsort(late, kind="stable")[:first]] if late[:first].any() else s[:first]
-                    else:
-                        chosen = s[:first]
-                    held[key] = (len(s), chosen)
-                    size += first
+                for s, rank in ship.value.sets(t):
+                    if len(s) and (key := fingerprint(s)[0]) not in held:
+                        first = int(prefix_size(np.array(len(s))))
+                        held[key] = (len(s), s[np.argsort(rank, kind="stable")[:first]])
+                        size += first
                 if size > PACK:
                     yield flush()
                     held, size = {}, 0
         if held:
             yield flush()
 
-    def pair(rows: pa.Table) -> pa.Table:
+    def keep_shared(rows: pa.Table) -> pa.Table:
         token, cid, n = [], [], []
         for tk, lo, ci, nn in zip(*(rows.column(c).to_pylist() for c in ("token", "local", "cid", "n"))):
             tk = np.frombuffer(tk, np.uint64)
@@ -144,22 +199,142 @@ def candidate_edges(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             cid.append(np.frombuffer(ci, np.int64)[local])
             n.append(np.frombuffer(nn, np.uint32)[local])
         token, cid, n = np.concatenate(token), np.concatenate(cid), np.concatenate(n).astype(np.int64)
-        order = np.argsort(token)
-        same = token[order][1:] == token[order][:-1]
-        shared = np.zeros(len(order), bool)
-        shared[1:] |= same
-        shared[:-1] |= same
-        token, cid, n = token[order][shared], cid[order][shared], n[order][shared]
         order = np.lexsort((cid, n, token))
         token, cid, n = token[order], cid[order], n[order]
-        near = (token[1:] == token[:-1]) & (cid[1:] != cid[:-1]) & (n[:-1] * T_DEN >= n[1:] * T_NUM)
-        names, at = np.unique(cid, return_inverse=True)
-        label = _least_label(len(names), at[:-1][near], at[1:][near])
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (cid[1:] != cid[:-1])
+        token, cid, n = token[new], cid[new], n[new]
+        near = (token[1:] == token[:-1]) & (n[:-1] * T_DEN >= n[1:] * T_NUM)
+        used = np.zeros(len(token), bool)
+        used[1:] |= near
+        used[:-1] |= near
+        cut_at = np.ones(len(token), bool)  # a list ends where the next size is too far
+        cut_at[1:] = ~near
+        names, who = np.unique(cid[used], return_inverse=True)
+        group = np.cumsum(cut_at)[used]
+        return pa.table({"bucket": rows.column("bucket").slice(0, 1), "cids": pa.array([names.tobytes()], pa.binary()), "who": pa.array([who.astype(np.int32).tobytes()], pa.binary()), "list": pa.array([np.diff(group, prepend=group[:1]).astype(bool).tobytes()], pa.binary())})
+
+    packed = docs.select("text").mapInArrow(pack, "bucket int, token binary, local binary, cid binary, n binary")
+    return packed.groupBy("bucket").applyInArrow(keep_shared, "bucket int, cids binary, who binary, list binary")
+
+
+def signature(s: np.ndarray) -> np.ndarray:
+    """Parities of shingles by the low bits of their hashes; as many bits as the next power of two, 64 at least."""
+    bits = max(64, 1 << int(len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+class Signatures:
+    """Signatures of many sets, by their number of bits; the longer of two is folded."""
+
+    def __init__(self, sizes: np.ndarray, data: list[np.ndarray]):
+        self.size, self.words = sizes, np.array([len(d) for d in data])
+        self.rows, self.at = {}, np.zeros(len(data), np.int64)
+        for w in np.unique(self.words):
+            some = np.flatnonzero(self.words == w)
+            self.at[some] = np.arange(len(some))
+            self.rows[int(w)] = np.stack([data[i] for i in some])
+
+    def may_link(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        n, out = self.size[i] + self.size[j], np.zeros(len(i), bool)
+        fits = (self.size[i] * T_DEN >= self.size[j] * T_NUM) & (self.size[j] * T_DEN >= self.size[i] * T_NUM)
+        for w in self.rows:
+            for v in (x for x in self.rows if x >= w):
+                for k in np.array_split(p := np.flatnonzero(fits & (np.minimum(self.words[i], self.words[j]) == w) & (np.maximum(self.words[i], self.words[j]) == v)), 1 + len(p) * v // (1 << 20)):
+                    if len(k):
+                        swap = self.words[i[k]] > self.words[j[k]]
+                        a, b = np.where(swap, j[k], i[k]), np.where(swap, i[k], j[k])
+                        long = self.rows[v][self.at[b]]
+                        if v > w:
+                            long = np.bitwise_xor.reduce(long.reshape(len(k), v // w, w), axis=1)
+                        differ = np.bitwise_count(self.rows[w][self.at[a]] ^ long).sum(1, dtype=np.int64)
+                        # |a xor b| = a + b - 2 overlap, and overlap >= T_NUM (a + b) / (T_NUM + T_DEN)
+                        out[k] = differ * (T_NUM + T_DEN) <= n[k] * (T_DEN - T_NUM)
+        return out
+
+
+def list_edges(lists: np.ndarray, who: np.ndarray, known: Signatures) -> np.ndarray:
+    """Least-member labels of sets after uniting all that may link within a list; ``lists`` ascends."""
+    label = np.arange(len(known.size))
+
+    def unite(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal label
+        differ = label[i] != label[j]
+        pair = np.unique(np.minimum(i, j)[differ] * len(label) + np.maximum(i, j)[differ])
+        i, j = pair // len(label), pair % len(label)
+        ok = known.may_link(i, j)
+        label = _least_label(len(label), np.concatenate([label, i[ok]]), np.concatenate([np.arange(len(label)), j[ok]]))
+
+    edge = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]]))
+    size = np.diff(np.append(edge, len(lists)))
+    first = np.repeat(edge, size)
+    unite(who[first], who)
+    later = np.flatnonzero(first < np.arange(len(who)))
+    unite(who[later - 1], who[later])
+    # what is apart after that: every list once for each set of sets, the lesser labels against all
+    seen = set()
+    pending, count = [], 0
+    for a, k in zip(edge.tolist(), size.tolist()):
+        members = who[a : a + k]
+        mine = label[members]
+        if k < 3 or (mine == mine[0]).all() or (key := members.tobytes()) in seen:
+            continue
+        seen.add(key)
+        values, n = np.unique(mine, return_counts=True)
+        lesser = members[mine != values[n.argmax()]]
+        for part in np.array_split(lesser, 1 + len(lesser) * k // (1 << 20)):
+            pending.append((np.repeat(part, k), np.tile(members, len(part))))
+            count += len(part) * k
+            if count > 1 << 20:
+                unite(*map(np.concatenate, zip(*pending)))
+                pending, count = [], 0
+    if pending:
+        unite(*map(np.concatenate, zip(*pending)))
+    return label
+
+
+def candidate_edges(docs: DataFrame, reps: DataFrame, lists: DataFrame) -> DataFrame:
+    """(src, dst) between classes whose signatures allow a link."""
+
+    def where(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for bucket, cids in zip(column(batch, "bucket").to_pylist(), column(batch, "cids").to_pylist()):
+                cid = np.frombuffer(cids, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(np.full(len(cid), bucket, np.int32))], ["cid", "bucket"])
+
+    def sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            cids, to, rows = column(batch, "cid").to_pylist(), column(batch, "buckets").to_pylist(), {}
+            sets = [s for t in batches(column(batch, "text")) for s in shingle_sets(t, K)]
+            for s, cid, buckets in zip(sets, cids, to):
+                if len(s) and fingerprint(s)[0] == cid:
+                    data = signature(s).tobytes()
+                    for b in buckets:
+                        rows.setdefault(b, []).append((cid, len(s), data))
+            out = [(b, np.array([r[:2] for r in x], np.int64).tobytes(), b"".join(r[2] for r in x)) for b, x in rows.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["bucket", "head", "bits"])
+
+    def meet(rows: pa.Table, signed: pa.Table) -> pa.Table:
+        if not rows.num_rows or not signed.num_rows:
+            return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64())})
+        names = np.frombuffer(rows.column("cids")[0].as_py(), np.int64)
+        who, lists = np.frombuffer(rows.column("who")[0].as_py(), np.int32).astype(np.int64), np.cumsum(np.frombuffer(rows.column("list")[0].as_py(), bool))
+        sizes, data = np.zeros(len(names), np.int64), [np.zeros(1, np.uint64)] * len(names)
+        for head, bits in zip(signed.column("head").to_pylist(), signed.column("bits").to_pylist()):
+            bits, at = np.frombuffer(bits, np.uint64), 0
+            for cid, n in np.frombuffer(head, np.int64).reshape(-1, 2).tolist():
+                w, i = max(64, 1 << (n - 1).bit_length()) // 64, np.searchsorted(names, cid)
+                sizes[i], data[i] = n, bits[at : at + w]
+                at += w
+        label = list_edges(lists, who, Signatures(sizes, data))
         moved = label != np.arange(len(names))
         return pa.table({"src": names[moved], "dst": names[label[moved]]})
 
-    packed = docs.select("text").mapInArrow(pack, "bucket int, token binary, local binary, cid binary, n binary")
-    return packed.groupBy("bucket").applyInArrow(pair, "src long, dst long")
+    buckets = lists.mapInArrow(where, "cid long, bucket int").groupBy("cid").agg(F.collect_set("bucket").alias("buckets"))
+    asked = reps.join(buckets, "cid")
+    signed = docs.select("doc_id", "text").join(asked, "doc_id").select("cid", "buckets", "text").mapInArrow(sign, "bucket int, head binary, bits binary")
+    return lists.groupBy("bucket").cogroup(signed.groupBy("bucket")).applyInArrow(meet, "src long, dst long")
 
 
 class SignatureTree:
@@ -291,14 +466,12 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``docs`` has doc_id and text.
     """
     seen = table(measure(docs), "shingle-sets")
-    rows = seen.where("is_doc").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("f1")).alias("cid"), "f2")
-    often = seen.where("NOT is_doc").groupBy("f1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "f1").limit(FREQUENT).select("f1").toPandas()["f1"].to_numpy(np.int64).view(np.uint64)
-    edges = candidate_edges(docs, often)
-    comps = cut(connected_components(edges).select(F.col("id").alias("cid"), F.col("component").alias("comp")))
-
-    reps = rows.where("cid IS NOT NULL AND doc_id IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("doc_id")).join(comps, "cid")
+    rows = seen.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("f1")).alias("cid"), "f2")
+    firsts = table(rows.where("cid IS NOT NULL AND doc_id IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("doc_id")), "classes")
+    lists = table(shared_lists(docs, order_of(seen)), "shared-shingles")
+    comps = cut(connected_components(candidate_edges(docs, firsts, lists)).select(F.col("id").alias("cid"), F.col("component").alias("comp")))
     sizes = comps.groupBy("comp").agg(F.count("*").alias("size"))
-    reps = reps.join(sizes, "comp").withColumn("parts", F.ceil(F.col("size") / CHUNK).cast("int"))
+    reps = firsts.join(comps, "cid").join(sizes, "comp").withColumn("parts", F.ceil(F.col("size") / CHUNK).cast("int"))
 
     def sets_of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
