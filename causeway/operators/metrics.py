@@ -66,10 +66,15 @@ def average_rank(column: str, *by: str) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(column)) + (F.count("*").over(Window.partitionBy(*by, column)) - 1) / 2.0
 
 
+def pearson(x: str, y: str) -> Column:
+    """Correlation of two columns; null where one doesn't vary (``corr`` itself fails there under ANSI rules)."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def correlations(rows: DataFrame, x: str, y: str, by: str) -> DataFrame:
     """(by, n, pearson, r2, spearman, slope, intercept); null where a side doesn't vary."""
     ranked = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("rx", average_rank(x, by)).withColumn("ry", average_rank(y, by))
-    out = ranked.groupBy(by).agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr("rx", "ry").alias("spearman"), F.regr_slope(F.col(y).cast("double"), F.col(x).cast("double")).alias("slope"), F.regr_intercept(F.col(y).cast("double"), F.col(x).cast("double")).alias("intercept"))
+    out = ranked.groupBy(by).agg(F.count("*").alias("n"), pearson(x, y).alias("pearson"), pearson("rx", "ry").alias("spearman"), F.regr_slope(F.col(y).cast("double"), F.col(x).cast("double")).alias("slope"), F.regr_intercept(F.col(y).cast("double"), F.col(x).cast("double")).alias("intercept"))
     return out.withColumn("r2", F.col("pearson") * F.col("pearson"))
 
 
