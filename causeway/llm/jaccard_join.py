@@ -297,11 +297,23 @@ def list_edges(lists: np.ndarray, who: np.ndarray, known: Signatures) -> np.ndar
 def candidate_edges(docs: DataFrame, reps: DataFrame, lists: DataFrame) -> DataFrame:
     """(src, dst) between classes whose signatures allow a link."""
 
+    groups = parts(docs.sparkSession)
+
     def where(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for bucket, cids in zip(column(batch, "bucket").to_pylist(), column(batch, "cids").to_pylist()):
                 cid = np.frombuffer(cids, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(np.full(len(cid), bucket, np.int32))], ["cid", "bucket"])
+                to = (mix(cid.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+                some = np.unique(to)
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), bucket, np.int32)), pa.array([cid[to == g].tobytes() for g in some], pa.binary())], ["part", "bucket", "cids"])
+
+    def gather(rows: pa.Table) -> pa.Table:
+        cids = [np.frombuffer(c, np.int64) for c in rows.column("cids").to_pylist()]
+        bucket = np.repeat(np.array(rows.column("bucket").to_pylist(), np.int32), [len(c) for c in cids])
+        cid = np.concatenate(cids)
+        order = np.lexsort((bucket, cid))
+        names, edge = np.unique(cid[order], return_index=True)
+        return pa.table({"cid": names, "buckets": pa.ListArray.from_arrays(pa.array(np.append(edge, len(cid)).astype(np.int32)), pa.array(bucket[order]))})
 
     def sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -331,7 +343,7 @@ def candidate_edges(docs: DataFrame, reps: DataFrame, lists: DataFrame) -> DataF
         moved = label != np.arange(len(names))
         return pa.table({"src": names[moved], "dst": names[label[moved]]})
 
-    buckets = lists.mapInArrow(where, "cid long, bucket int").groupBy("cid").agg(F.collect_set("bucket").alias("buckets"))
+    buckets = lists.mapInArrow(where, "part int, bucket int, cids binary").groupBy("part").applyInArrow(gather, "cid long, buckets array<int>")
     asked = reps.join(buckets, "cid")
     signed = docs.select("doc_id", "text").join(asked, "doc_id").select("cid", "buckets", "text").mapInArrow(sign, "bucket int, head binary, bits binary")
     return lists.groupBy("bucket").cogroup(signed.groupBy("bucket")).applyInArrow(meet, "src long, dst long")
