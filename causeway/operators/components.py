@@ -1,20 +1,50 @@
 """Connected components of an undirected graph, distributed.
 
+Every task first unites the edges that it holds, which leaves a forest of stars.
 Alternating large-star and small-star steps (Kiveris et al., "Connected Components
-in MapReduce and Beyond") contract every component to a star around its least node
-in a number of rounds that is logarithmic in practice. Each step is a grouped
+in MapReduce and Beyond") then contract every component to one star around its least
+node in a number of rounds that is logarithmic in practice. Each step is a grouped
 minimum (combined before the shuffle) and a join on the node; rounds are cut in the
 shared folder. Nothing but two sums per round reaches the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.shared import cut
 
 
+def _unite(edges: DataFrame) -> DataFrame:
+    """Stars around the least node of what each task's edges connect."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict = {}
+
+        def root(x):
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = up[y]
+                x = y
+            return x
+
+        schema = None
+        for batch in it:
+            schema = batch.schema
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = root(a), root(b)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+        if schema is not None:
+            tied = [(x, r) for x in list(up) if (r := root(x)) != x]
+            yield pa.RecordBatch.from_arrays([pa.array([t[i] for t in tied], schema.field(i).type) for i in (0, 1)], ["u", "v"])
+
+    return edges.mapInArrow(run, edges.schema)
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -30,10 +60,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(id, component) of every node with an edge to another; the component is its least id."""
     edges = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct()
-    edges, before = cut(edges), None
+    state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    edges = cut(_unite(edges).distinct())
+    before = state(edges)
     for _ in range(max_rounds):
         edges = cut(_small_star(_large_star(edges)))
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = state(edges)
         if now == before:
             break
         before = now

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from causeway.model import ANNOTATION, CYCLES, ConfigError, Graph
-from causeway.shared import shared_dir
 
 # Folders that hold no sources of a Python project, and the files that mark one.
 SKIPPED = ("__pycache__", "node_modules", "build", "dist", ".tox", ".mypy_cache", ".pytest_cache", ".eggs", "site-packages", ".venv", "venv", "env")
@@ -134,9 +133,3 @@ def sources_of(ids: DataFrame, files: DataFrame) -> DataFrame:
     rows = ids.select("id").join(files, ids["id"] == files["path"], "left")
     parts = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("id", "text"))))
     return rows.agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("text"), F.count_if(F.col("text").isNull()).alias("missing"))
-
-
-def stream_edges(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
-    """Raw edges as files arrive (an extension; see ``causeway.streaming``)."""
-    shared_dir(spark)
-    return spark.readStream.schema(schema).parquet(folder)
