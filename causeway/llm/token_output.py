@@ -32,7 +32,7 @@ from causeway.shared import table as stored
 
 END = 1
 BLOCK = 1 << 18
-MEMO = 500_000
+MEMO = 800_000
 NO_ID = -(1 << 63)
 
 
@@ -115,38 +115,37 @@ def encode_texts(texts: list[bytes], path: str) -> list[bytes]:
 
 
 def tokenize(docs: DataFrame, path: str, text="text", doc_id="doc_id", end: int | None = END) -> DataFrame:
-    """(doc_id, ids): ids little-endian, of the vocabulary's type, the end id last."""
+    """(doc_id, ids, counts): ids little-endian, of the vocabulary's type, the end id last; a last row of each task has but its counts of all ids."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = b"" if end is None else np.array([end], words_of(path).kind).tobytes()
+        names, kind = ["doc_id", "ids", "counts"], words_of(path).kind
+        last = b"" if end is None else np.array([end], kind).tobytes()
+        total = np.zeros(words_of(path).library.get_vocab_size(True), np.int64)
         for batch in it:
-            for lo in range(0, batch.num_rows, 250):
-                some = batch.slice(lo, 250)
-                texts = [t or b"" for t in column(some, "text").cast(pa.large_binary()).to_pylist()]
-                ids = pa.array([x + last for x in encode_texts(texts, path)], pa.binary())
-                yield pa.RecordBatch.from_arrays([column(some, "doc_id"), ids], ["doc_id", "ids"])
+            texts = [t or b"" for t in column(batch, "text").cast(pa.large_binary()).to_pylist()]
+            ids = [x + last for x in encode_texts(texts, path)]
+            for lo in range(0, len(ids), 100):
+                total += np.bincount(np.frombuffer(b"".join(ids[lo : lo + 100]), kind), minlength=len(total))
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids binary, counts binary")
 
 
-def count_ids(tokens: DataFrame, kind: np.dtype) -> np.ndarray:
-    """Counts by id over all documents; one row per task and id is shuffled."""
+def count_ids(tokens: DataFrame) -> np.ndarray:
+    """Counts by id over all documents: tasks' counts are summed on executors, a vocabulary's worth comes back from each of a few."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
+        total = None
         for batch in it:
-            for x in column(batch, "ids"):
-                got = np.bincount(np.frombuffer(x.as_buffer(), kind))
-                if len(got) > len(total):
-                    total = np.pad(total, (0, len(got) - len(total)))
-                total[: len(got)] += got
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], ["id", "n"])
+            for x in column(batch, "counts"):
+                got = np.frombuffer(x.as_buffer(), np.int64)
+                total = got if total is None else total + got
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
 
-    rows = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(int(rows["id"].max()) + 1 if len(rows) else 1, np.int64)
-    out[rows["id"].to_numpy()] = rows["n"].to_numpy()
-    return out
+    rows = tokens.where("counts IS NOT NULL").select("counts").mapInArrow(run, "counts binary").repartition(8).mapInArrow(run, "counts binary").collect()
+    return np.sum([np.frombuffer(r["counts"], np.int64) for r in rows], axis=0) if rows else np.zeros(1, np.int64)
 
 
 def encode(tokens: DataFrame, freq: Table, kind: np.dtype) -> DataFrame:
@@ -181,8 +180,8 @@ def write(docs: DataFrame, path: str, name="token-blocks", **columns) -> tuple[D
     """The written blocks and their table of frequencies."""
     tokens = stored(tokenize(docs, path, **columns), "token-ids")
     kind = words_of(path).kind
-    freq = Table.of(count_ids(tokens, kind))
-    return stored(encode(tokens, freq, kind), name, codec="uncompressed"), freq
+    freq = Table.of(count_ids(tokens))
+    return stored(encode(tokens.where("counts IS NULL").select("doc_id", "ids"), freq, kind), name, codec="uncompressed"), freq
 
 
 def read(blocks: DataFrame, freq: Table) -> DataFrame:
