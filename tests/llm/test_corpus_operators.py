@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,7 +190,7 @@ def test_mixing_agrees_with_sql(spark):
 
 
 def clean_rows(d):
-    return [tuple(None if x is None or x != x else round(float(x), 6) for x in r) for r in d[sorted(d.columns)].astype(object).itertuples(index=False)]
+    return [tuple(None if pd.isna(x) else round(float(x), 6) for x in r) for r in d[sorted(d.columns)].astype(object).itertuples(index=False)]
 
 
 def test_url_lists(spark):
