@@ -52,7 +52,8 @@ class Words(dict):
     def learn(self, words: list[bytes], single: bool) -> None:
         """Words go to the library joined by spaces; what it says of each id's place gives each word its own.
 
-        ``single``: words of letters only, which the vocabulary never splits before encoding.
+        ``single``: words of letters only, which the vocabulary splits before encoding only where NFC takes a letter
+        apart. As every word gives an id or more, as many pre-tokens as words mean that none was split.
         """
         for lo in range(0, len(words), 256):
             part = words[lo : lo + 256]
@@ -60,7 +61,7 @@ class Words(dict):
             got = self.library.encode(" ".join(text), add_special_tokens=False)
             if single:
                 owner = np.array(got.word_ids)
-            else:
+            if not single or owner[-1] + 1 != len(part):
                 begin = np.cumsum([0, *(len(w) + 1 for w in text)])
                 owner = np.searchsorted(begin, [a for a, _ in got.offsets], "right") - 1
             edges, ids = (self.kind.itemsize * np.searchsorted(owner, np.arange(len(part) + 1))).tolist(), np.array(got.ids, self.kind).tobytes()

@@ -38,6 +38,14 @@ def test_any_texts(texts):
     assert ids(texts) == plain(texts)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("abé \u0958\u095f\u0932\u092e\u09dc\u0a33\ufb1d\ufb2a\ufb4e\u05d0\u0f43")), max_size=20), max_size=5))
+def test_letters_that_nfc_takes_apart(texts):
+    token_output.words_of(tokenizer_path()).clear()
+    texts = ["the \u0958\u0932\u092e hello world", *texts]
+    assert ids(texts) == plain(texts)
+
+
 def test_memo_starts_afresh(monkeypatch):
     monkeypatch.setattr(token_output, "MEMO", 5)
     texts = [f"w{i} common, x{i}" for i in range(20)]
