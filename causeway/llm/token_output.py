@@ -101,10 +101,20 @@ def words_of(path: str) -> Words:
     return Words(path)
 
 
+def words_in(text: bytes) -> list[bytes]:
+    """Words between ASCII spaces; those wholly in ASCII are lowered.
+
+    The library lowers others behind its NFC: a capital and its mark may have no composed form where the small letter has one.
+    """
+    if b"<|" in text:
+        return text.split()
+    return text.lower().split() if text.isascii() else [w.lower() if w.isascii() else w for w in text.split()]
+
+
 def encode_texts(texts: list[bytes], path: str) -> list[bytes]:
     """Ids of each UTF-8 text (of ``words_of(path).kind``), without an end id."""
     known = words_of(path)
-    lists = [(t if b"<|" in t else t.lower()).split() for t in texts]
+    lists = list(map(words_in, texts))
     new: set[bytes] = set()
     for x in lists:
         new.update(x)

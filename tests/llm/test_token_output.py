@@ -38,7 +38,7 @@ def test_any_texts(texts):
     assert ids(texts) == plain(texts)
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=30, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from(list("abé \u0958\u095f\u0932\u092e\u09dc\u0a33\ufb1d\ufb2a\ufb4e\u05d0\u0f43")), max_size=20), max_size=5))
 def test_letters_that_nfc_takes_apart(texts):
     token_output.words_of(tokenizer_path()).clear()
@@ -46,6 +46,13 @@ def test_letters_that_nfc_takes_apart(texts):
     assert ids(texts) == plain(texts)
 
 
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("JHTWYKajhtwy .,\u030c\u0331\u0308\u030a\u0301\u0323\u05b0")), max_size=20), max_size=5))
+def test_capitals_with_marks(texts):
+    texts = ["H\u0331a", "J\u030c T\u0308 W\u030a Y\u030a", *texts]
+    assert ids(texts) == plain(texts)
+
+
 def test_memo_starts_afresh(monkeypatch):
     monkeypatch.setattr(token_output, "MEMO", 5)
     texts = [f"w{i} common, x{i}" for i in range(20)]
