@@ -3,7 +3,8 @@
 Entries (key, action, listed_on) are events: ``block`` and ``allow`` begin, and
 ``drop`` ends what an earlier entry of the same key said. Sorted by date, each
 entry becomes the validity interval up to its key's next one. A key is a host, which
-stands for its subdomains too, or a host and first path segment (``host/segment``).
+stands for its subdomains too, or a host and first path segment (``host/segment``);
+case counts in the segment only.
 A capture is judged by the entry active at its fetch time whose key is the most
 specific (most labels; with a segment before without).
 
@@ -39,9 +40,15 @@ def segment_of(url: Column) -> Column:
     return F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]*)", 1)
 
 
+def key_of(key: Column) -> Column:
+    """An entry's key with its host in lower case; a path segment keeps its case, as a capture's does."""
+    host = F.substring_index(key, "/", 1)
+    return F.concat(F.lower(host), F.substring(key, F.length(host) + 1, F.length(key)))
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """(key, entry_id, action, since, until); entries of one key are bounded by how often it was listed."""
-    rows = entries.where("key IS NOT NULL AND listed_on IS NOT NULL").groupBy(F.lower("key").alias("key"), "listed_on").agg(F.max(F.struct("action", "entry_id")).alias("e"))
+    rows = entries.where("key IS NOT NULL AND listed_on IS NOT NULL").groupBy(key_of(F.col("key")).alias("key"), "listed_on").agg(F.max(F.struct("action", "entry_id")).alias("e"))
     until = F.lead("listed_on").over(Window.partitionBy("key").orderBy("listed_on"))
     return rows.select("key", "e.entry_id", "e.action", F.col("listed_on").alias("since"), until.alias("until")).where("action <> 'drop'")
 

@@ -206,6 +206,24 @@ def test_url_lists(spark):
     assert url_lists.judge(pages.limit(0), entries).count() == 0 and not url_lists.judge(pages, entries.limit(0)).where("blocked").count()
 
 
+def test_url_segments_keep_their_case(spark):
+    entries = spark.createDataFrame([("1", "X.com/Ads", "block", "2024-01-01"), ("2", "y.com/ads", "block", "2024-01-01")], "entry_id string, key string, action string, listed_on string")
+    cases = [("http://x.com/Ads/1", True), ("http://x.com/ads/1", False), ("http://Y.com/ads", True), ("http://y.com/Ads", False)]
+    pages = spark.createDataFrame([(i, u, "2024-02-01") for i, (u, _) in enumerate(cases)], "page_id long, url string, fetched string")
+    assert {r["page_id"]: r["blocked"] for r in url_lists.judge(pages, entries).collect()} == {i: b for i, (_, b) in enumerate(cases)}
+
+
+def test_url_lists_agree_with_sql_on_capitals(spark):
+    rows = [(i, f"http://h{i % 9}.Org/{s}/x") for i, s in enumerate(["Ads", "ads", "ÄB", "News", "p"] * 40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = url_lists.judge(pages.withColumn("fetched", url_lists.capture_day(F.col("page_id"))), url_lists.derived_entries(pages))
+    with duckdb.connect() as db:
+        db.register("pages", pd.DataFrame(rows, columns=["page_id", "url"]))
+        want = db.execute(url_lists.oracle()).fetchall()
+    text = lambda rows: sorted(tuple(str(x) for x in r) for r in rows)
+    assert any("/Ads" in str(r[4]) for r in want) and text(got.collect()) == text(want)
+
+
 @pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="no pipeline")
 def test_pipeline_against_plain_python(spark):
     import corpus_pipeline
