@@ -522,20 +522,39 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def link(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
+    return _linked(docs, text, doc_id).drop("cid", "label")
+
+
+def _linked(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows, labels = classes(docs)
     named = rows.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("least")).join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "label").select("cid", "component_id")
-    return rows.join(named, "cid", "left").select("doc_id", "n_shingles", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = named.join(least, "label").select("cid", "label", "component_id")
+    return rows.join(named, "cid", "left").select("doc_id", "n_shingles", "cid", "label", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component (the one with the least doc_id), columns as given.
+    """One document of each component (the one with the least doc_id, then text), columns as given.
 
-    Of repeated rows (doc_id and text alike) one stays. Rows without a doc_id all stay.
+    Of repeated rows (doc_id and text alike) one stays. Texts without shingles and rows without a doc_id all stay.
     """
-    found = table(link(docs), "components").where("doc_id IS NOT NULL")
-    gone = found.groupBy("doc_id").agg(F.min((F.col("doc_id") != F.col("component_id")).cast("int")).alias("gone"), F.count("*").alias("rows"))
-    kept = docs.join(gone.where("gone = 1").select(F.col("doc_id").alias("gone_id")), F.col("gone_id") == docs["doc_id"], "left_anti")
-    return kept.dropDuplicates(["doc_id", "text"]) if gone.where("rows > 1 AND gone = 0").limit(1).count() else kept
+    found = table(_linked(docs), "components").where("doc_id IS NOT NULL")
+    ids = found.groupBy("doc_id").agg(F.max((F.col("doc_id") != F.col("component_id")).cast("int")).alias("gone"), F.count("*").alias("rows"))
+    kept = docs.join(ids.where("gone = 1 OR rows > 1").select(F.col("doc_id").alias("gone_id")), F.col("gone_id") == docs["doc_id"], "left_anti")
+    many = ids.where("rows > 1").select(F.col("doc_id").alias("many_id"))
+    if not many.limit(1).count():
+        return kept
+    again = docs.join(many, F.col("many_id") == docs["doc_id"], "left_semi")
+
+    def cids(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            sets = [s for t in batches(column(batch, "text")) for s in shingle_sets(t, K)]
+            found = pa.array([fingerprint(s)[0] if len(s) else None for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "text"), found], ["doc_id", "text", "cid"])
+
+    texts = again.select(F.col("doc_id").cast("long").alias("doc_id"), "text").distinct().mapInArrow(cids, "doc_id long, text string, cid long")
+    first = found.where("cid IS NOT NULL AND doc_id = component_id").select("doc_id", "cid", "label").distinct()
+    stay = texts.where("cid IS NULL").select("doc_id", "text").union(texts.join(first, ["doc_id", "cid"]).groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text"))
+    stay = stay.select(F.col("doc_id").alias("stay_id"), F.col("text").alias("stay_text"))
+    return kept.unionByName(again.join(stay, (F.col("stay_id") == again["doc_id"]) & F.col("stay_text").eqNullSafe(again["text"]), "left_semi").dropDuplicates(["doc_id", "text"]))

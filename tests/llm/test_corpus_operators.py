@@ -84,6 +84,16 @@ def test_jaccard_odd_rows(spark):
     assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(3, "a b c d e f"), (4, None)]
 
 
+def test_keep_first_decides_by_text(spark):
+    far = "p q r s t u v"
+    rows = [(1, "a b c d e f"), (3, "a b c d e f"), (3, far), (3, far), (3, "P q r s t u v"), (3, "short"), (5, far), (None, "x y z x y z"), (None, "x y z x y z"), (7, "k l m n o p"), (7, "k l m n o p")]
+    docs = spark.createDataFrame([(t, i, "x") for i, t in rows], "text string, doc_id long, lang string")
+    kept = jaccard_join.keep_first(docs)
+    assert kept.columns == docs.columns
+    want = [(-1, "x y z x y z")] * 2 + [(1, "a b c d e f"), (3, "P q r s t u v"), (3, "short"), (7, "k l m n o p")]
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in kept.collect()) == want
+
+
 def test_signature_bound_never_drops_a_link():
     rng = np.random.default_rng(0)
     sets, pairs = [], []
