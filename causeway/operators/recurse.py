@@ -10,6 +10,7 @@ the shared folder. Which way an island goes changes nothing in the result.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -26,14 +27,17 @@ def pairs(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").where("src <> dst").distinct()
 
 
-def reach(edges: DataFrame, seeds: DataFrame, include_start: bool = False, max_rounds: int = 10_000) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, include_start: bool = False, max_rounds: int | None = None) -> DataFrame:
     """(seed, id): what each row of ``seeds`` (seed, id) reaches, by frontier rounds.
 
-    A start isn't in its own answer, even on a cycle, unless ``include_start``.
+    A start isn't in its own answer, even on a cycle, unless ``include_start``. Rounds
+    go on until the frontier is empty; with ``max_rounds``, more of them are an error.
     """
     step = cut(pairs(edges))
     seen = frontier = cut(seeds.select("seed", "id").distinct())
-    for _ in range(max_rounds):
+    for n in count():
+        if n == max_rounds:
+            raise RuntimeError(f"the frontier isn't empty after {max_rounds} rounds")
         ahead = frontier.join(step, frontier["id"] == step["src"]).select("seed", F.col("dst").alias("id")).distinct()
         frontier = cut(ahead.join(seen, ["seed", "id"], "left_anti"))
         if frontier.isEmpty():
@@ -58,13 +62,15 @@ def cone(edges: DataFrame, node, include_start: bool = False) -> DataFrame:
     return reach(edges, start, include_start).select("id")
 
 
-def reaches(edges: DataFrame, a, b, max_rounds: int = 10_000) -> bool:
+def reaches(edges: DataFrame, a, b, max_rounds: int | None = None) -> bool:
     """Whether ``b`` can be reached from ``a`` (always from itself); stops at the first hit."""
     if a == b:
         return True
     step, start = cut(pairs(edges)), edges.sparkSession.range(1).select(F.lit(a).alias("id"))
     seen = frontier = start
-    for _ in range(max_rounds):
+    for n in count():
+        if n == max_rounds:
+            raise RuntimeError(f"the frontier isn't empty after {max_rounds} rounds")
         ahead = frontier.join(step, frontier["id"] == step["src"]).select(F.col("dst").alias("id")).distinct()
         frontier = cut(ahead.join(seen, "id", "left_anti"))
         if not frontier.where(F.col("id") == b).isEmpty():
@@ -72,7 +78,6 @@ def reaches(edges: DataFrame, a, b, max_rounds: int = 10_000) -> bool:
         if frontier.isEmpty():
             return False
         seen = cut(seen.union(frontier))
-    return False
 
 
 class Local:

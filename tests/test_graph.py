@@ -66,6 +66,16 @@ def test_random_graphs(spark, seed, local, monkeypatch):
         assert R.reaches(e, names[0], names[-1]) == (names[-1] in down[names[0]] or len(names) == 1)
 
 
+def test_rounds_that_run_out_are_an_error(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(4)], "src long, dst long")
+    seeds = spark.createDataFrame([(0, 0)], "seed long, id long")
+    assert R.reach(edges, seeds).count() == 4 and R.reaches(edges, 0, 4)
+    with pytest.raises(RuntimeError):
+        R.reach(edges, seeds, max_rounds=2)
+    with pytest.raises(RuntimeError):
+        R.reaches(edges, 0, 4, max_rounds=2)
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "src long, dst long")
     got = dict(rows(connected_components(e)))
