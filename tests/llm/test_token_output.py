@@ -17,10 +17,10 @@ ODD = [
 ]
 
 
-def plain(texts):
+def plain(texts, path=None):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer_path())
+    t = Tokenizer.from_file(path or tokenizer_path())
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -41,7 +41,7 @@ def test_any_texts(texts):
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from(list("abé \u0958\u095f\u0932\u092e\u09dc\u0a33\ufb1d\ufb2a\ufb4e\u05d0\u0f43")), max_size=20), max_size=5))
 def test_letters_that_nfc_takes_apart(texts):
-    token_output.words_of(tokenizer_path()).clear()
+    token_output.pieces_of(tokenizer_path(), None).forget()
     texts = ["the \u0958\u0932\u092e hello world", *texts]
     assert ids(texts) == plain(texts)
 
@@ -53,6 +53,34 @@ def test_capitals_with_marks(texts):
     assert ids(texts) == plain(texts)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("abzKİıéçßÿ×÷Āȿ'’.,;:!?-_=<>|/\\\"#@&1209\u0338\u0307\xa0\u2003\x00\x1c \n日я")), max_size=40), max_size=6))
+def test_borders_of_pieces(texts):
+    texts = ["don't 'tis rock'n'roll x'S 'll'd ''s", "a1b22c é1, É. İ, ×2 ÷é= ≠=\u0338a", "http://a.b/c?d=e&f#g a_b-c", "x" * 100 + "\x00" + "é" * 40, *texts]
+    assert ids(texts) == plain(texts)
+
+
+def test_random_code_points():
+    rng = np.random.default_rng(3)
+    texts = ["".join(chr(c) for c in np.where(rng.random(60) < 0.5, rng.integers(32, 127, 60), rng.choice([*range(0xA0, 0x590), *range(0x900, 0xA00), *range(0x1E00, 0x2100), *range(0x3040, 0x3100)], 60))) for _ in range(2000)]
+    assert ids(texts) == plain(texts)
+
+
+def test_capitals_are_lowered_only_where_nfc_agrees():
+    import unicodedata
+
+    joined = {m for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for m in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x11000)]) if len(unicodedata.normalize("NFC", c + m)) == 1}
+    assert joined and all(m.encode()[0] in (0xCC, 0xCD) for m in joined)
+
+
+def test_other_vocabularies_encode_whole_texts():
+    path = tokenizer_path("byte_bpe_50k.json")
+    texts = ["Hello world, This is  a Test", "", "É\n\n x<|endoftext|>"]
+    got = token_output.encode_texts([t.encode() for t in texts], path)
+    kind = token_output.pieces_of(path, None).kind
+    assert [np.frombuffer(x, kind).tolist() for x in got] == plain(texts, path)
+
+
 def test_memo_starts_afresh(monkeypatch):
     monkeypatch.setattr(token_output, "MEMO", 5)
     texts = [f"w{i} common, x{i}" for i in range(20)]
@@ -84,15 +112,16 @@ def test_one_id_only():
     assert (rans.decode_block(rans.encode_block(np.array([1]), np.array([5000]), x, table), table)[2] == x).all()
 
 
-def test_documents(spark):
-    rows = [(5, "Hello, world"), (3, None), (4, ""), (9, "a " * 3000), (5, "again"), (None, "no id"), (1, "Été")]
+def test_documents(spark, tmp_path):
+    rows = [(5, "Hello, world"), (3, None), (4, ""), (9, "a " * 3000), (5, "again"), (None, "no id"), (1, "Été"), (-(1 << 63), "least id")]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, ids string")
-    blocks, freq = token_output.write(df, tokenizer_path())
-    got = sorted(token_output.read(blocks, freq).collect(), key=lambda r: r.start)
+    folder = str(tmp_path / "tokens")
+    token_output.write(df, tokenizer_path(), to=f"file://{folder}")
+    got = sorted(token_output.read(spark, f"file://{folder}").collect(), key=lambda r: r.start)
     want = {}
     for (i, t), x in zip(rows, plain([t or "" for _, t in rows])):
         want.setdefault(i, []).append((len(x) + 1, zlib.crc32(np.array([*x, 1], "<u4").tobytes())))
-    assert [r.doc_id for r in got] == [None, 1, 3, 4, 5, 5, 9]
+    assert [r.doc_id for r in got] == [None, -(1 << 63), 1, 3, 4, 5, 5, 9]
     at = 0
     for r in got:
         assert r.start == at
