@@ -47,7 +47,8 @@ MEMO, WIDTH, SLOT_BITS = 1_000_000, 24, 22
 U64 = np.uint64
 BLOCKS = "range_no int, block_no int, n_null int, n_ids long, block binary"
 
-#: Fixed value: the normalizer and the splitting, as the vocabulary's file states them, that the pieces rely on.
+#: The suffix of a pre-token's last id; the normalizer and the splitting, as the vocabulary's file states them, that the pieces rely on.
+SUFFIX = "</w>"
 SPLITTING = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
     "pre_tokenizer": {
@@ -115,14 +116,18 @@ class Pieces:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
+        self.model = Tokenizer(self.library.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.size = self.library.get_vocab_size(True)
         self.kind, self.end = id_type(self.size), end
         spec = json.loads(Path(path).read_text(encoding="utf-8"))
         special = all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["normalized"]) for t in spec.get("added_tokens", []))
-        self.splits = special and all(spec.get(k) == v for k, v in SPLITTING.items())
+        self.last = np.zeros(self.size, bool)
+        self.last[[i for w, i in self.library.get_vocab(True).items() if w.endswith(SUFFIX)]] = True
+        self.splits = special and spec["model"].get("end_of_word_suffix") == SUFFIX and all(spec.get(k) == v for k, v in SPLITTING.items())
         self.forget()
 
     def forget(self) -> None:
@@ -180,22 +185,28 @@ class Pieces:
     def learn(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of pieces, which go to the library joined by spaces; what it says of each id's place gives each piece its own.
 
-        Pieces of letters are one pre-token each, unless NFC takes a letter apart. As every piece gives an id or more, as
-        many pre-tokens as pieces mean that none was.
+        Pieces of letters are one pre-token each, unless NFC takes a letter apart, and a pre-token's last id, no other, has
+        the vocabulary's suffix: as many of those as pieces mean that none was taken apart. The normalizer and the
+        splitting leave pieces of a-z as they are, so those go to the library's model past both.
         """
         out: dict[bytes, bytes] = {}
-        letters = [w for w in pieces if w.isalpha() or (w[-1] >= 128 and w.decode("utf-8", "replace").lower().isalpha())]
-        for some, single in ((letters, True), (list(set(pieces).difference(letters)), False)):
+        ascii_, letters, others = [], [], []
+        for w in pieces:
+            (ascii_ if w.isalpha() else letters if w[-1] >= 128 and w.decode("utf-8", "replace").lower().isalpha() else others).append(w)
+        for some in (ascii_, letters, others):
             for lo in range(0, len(some), 256):
                 part = some[lo : lo + 256]
                 text = [w.decode("utf-8", "replace") for w in part]
-                got = self.library.encode(" ".join(text), add_special_tokens=False)
-                if single:
-                    owner = np.array(got.word_ids)
-                if not single or owner[-1] + 1 != len(part):
+                if some is ascii_:
+                    got = self.model.encode_batch_fast([" ".join(text).lower()], add_special_tokens=False)[0]
+                else:
+                    got = self.library.encode(" ".join(text), add_special_tokens=False)
+                flat = np.array(got.ids, self.kind)
+                edges = np.concatenate([[0], np.flatnonzero(self.last[flat]) + 1])
+                if some is others or len(edges) != len(part) + 1:
                     begin = np.cumsum([0, *(len(w) + 1 for w in text)])
-                    owner = np.searchsorted(begin, [a for a, _ in got.offsets], "right") - 1
-                edges, ids = (self.kind.itemsize * np.searchsorted(owner, np.arange(len(part) + 1))).tolist(), np.array(got.ids, self.kind).tobytes()
+                    edges = np.searchsorted(np.searchsorted(begin, [a for a, _ in got.offsets], "right") - 1, np.arange(len(part) + 1))
+                edges, ids = (self.kind.itemsize * edges).tolist(), flat.tobytes()
                 out.update(zip(part, map(ids.__getitem__, map(slice, edges, edges[1:]))))
         return [out[w] for w in pieces]
 

@@ -1,5 +1,6 @@
 import os
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -17,10 +18,15 @@ ODD = [
 ]
 
 
-def plain(texts, path=None):
+@lru_cache
+def library(path):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path or tokenizer_path())
+    return Tokenizer.from_file(path)
+
+
+def plain(texts, path=None):
+    t = library(path or tokenizer_path())
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
