@@ -38,15 +38,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.rows import column, parts
+from causeway.llm.rows import column, may_have, parts, quoted, unused
 from causeway.llm.textkernel import LOWER, Texts, batches, mix, shingle_sets, windows
 from causeway.operators.components import connected_components
-from causeway.shared import cut, table
+from causeway.shared import cut, drop, table
 
 #: Similarity as a fraction, words of a shingle.
 T_NUM, T_DEN, K = 3, 4, 5
 #: Sets of a component that one task compares; shingles packed before they are sent; length of the list of frequent shingles.
 CHUNK, PACK, FREQUENT, COMMON = 3000, 1 << 20, 100_000, 50_000
+#: Shares that the rows of one label are dealt to.
+SALTS = 16
 
 
 def prefix_size(n: np.ndarray) -> np.ndarray:
@@ -63,6 +65,11 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(x) for x in np.array([mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64)]).view(np.int64))
 
 
+def named(f: tuple[int, int], clashing: frozenset[int]) -> int:
+    """A class's 64-bit name: the first half of its 128 bits, or the second where different classes share the first."""
+    return f[1] if f[0] in clashing else f[0]
+
+
 class Order:
     """Ranks of shingles: the levels of common words, and shingles that go last."""
 
@@ -104,14 +111,14 @@ class Order:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """Rows of kind 0 (doc_id, n, f1, f2) for documents, 1 and 2 (null, count, hash, null) for shingles in several sets of a batch and for words frequent in it, 3 for its number of words."""
+    """Rows of kind 0 (doc_id, n, f1, f2, signature) for documents, 1 and 2 (null, count, hash) for shingles in several sets of a batch and for words frequent in it, 3 for its number of words."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "f1", "f2", "kind"]
+        names = ["doc_id", "n", "f1", "f2", "sig", "kind"]
 
         def counts(code: np.ndarray, n: np.ndarray, kind: int) -> pa.RecordBatch:
             k = len(code)
-            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(n.astype(np.int64)), pa.array(code.view(np.int64)), pa.nulls(k, pa.int64()), pa.array(np.full(k, kind, np.int32))], names)
+            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(n.astype(np.int64)), pa.array(code.view(np.int64)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(np.full(k, kind, np.int32))], names)
 
         for batch in it:
             sets, words = [], []
@@ -120,14 +127,14 @@ def measure(docs: DataFrame) -> DataFrame:
                 start, end, _ = t.words()
                 words.append(t.spans(t.prefix(LOWER[t.data]), start, end) if len(start) else np.zeros(0, np.uint64))
             f = [fingerprint(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in f], pa.int64()), pa.array([x for _, x in f], pa.int64()), pa.array(np.zeros(len(sets), np.int32))], names)
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in f], pa.int64()), pa.array([x for _, x in f], pa.int64()), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()), pa.array(np.zeros(len(sets), np.int32))], names)
             once = list({x: s for x, s in zip(f, sets)}.values())
             for kind, data, least in ((1, np.concatenate(once) if once else np.zeros(0, np.uint64), 4), (2, np.concatenate(words) if words else np.zeros(0, np.uint64), 8)):
                 code, n = np.unique(data, return_counts=True)
                 yield counts(code[n >= least], n[n >= least], kind)
             yield counts(np.zeros(1, np.uint64), np.array([sum(map(len, words))]), 3)
 
-    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, kind int")
+    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, sig binary, kind int")
 
 
 def order_of(seen: DataFrame) -> Order:
@@ -153,7 +160,7 @@ def _least_label(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def shared_lists(docs: DataFrame, order: Order) -> DataFrame:
+def shared_lists(docs: DataFrame, order: Order, clashing: frozenset[int] = frozenset()) -> DataFrame:
     """One row per bucket: lists of classes of like size that share a prefix shingle."""
     spark = docs.sparkSession
     buckets, ship = parts(spark), spark.sparkContext.broadcast(order)
@@ -180,7 +187,7 @@ def shared_lists(docs: DataFrame, order: Order) -> DataFrame:
         for batch in it:
             for t in batches(column(batch, "text")):
                 for s, rank in ship.value.sets(t):
-                    if len(s) and (key := fingerprint(s)[0]) not in held:
+                    if len(s) and (key := named(fingerprint(s), clashing)) not in held:
                         first = int(prefix_size(np.array(len(s))))
                         held[key] = (len(s), s[np.argsort(rank, kind="stable")[:first]])
                         size += first
@@ -294,10 +301,10 @@ def list_edges(lists: np.ndarray, who: np.ndarray, known: Signatures) -> np.ndar
     return label
 
 
-def candidate_edges(docs: DataFrame, reps: DataFrame, lists: DataFrame) -> DataFrame:
-    """(src, dst) between classes whose signatures allow a link."""
+def candidate_edges(reps: DataFrame, lists: DataFrame) -> DataFrame:
+    """(src, dst) between classes (cid, n, sig) whose signatures allow a link."""
 
-    groups = parts(docs.sparkSession)
+    groups = parts(reps.sparkSession)
 
     def where(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -317,13 +324,10 @@ def candidate_edges(docs: DataFrame, reps: DataFrame, lists: DataFrame) -> DataF
 
     def sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            cids, to, rows = column(batch, "cid").to_pylist(), column(batch, "buckets").to_pylist(), {}
-            sets = [s for t in batches(column(batch, "text")) for s in shingle_sets(t, K)]
-            for s, cid, buckets in zip(sets, cids, to):
-                if len(s) and fingerprint(s)[0] == cid:
-                    data = signature(s).tobytes()
-                    for b in buckets:
-                        rows.setdefault(b, []).append((cid, len(s), data))
+            rows: dict[int, list] = {}
+            for cid, n, sig, buckets in zip(*(column(batch, c).to_pylist() for c in ("cid", "n", "sig", "buckets"))):
+                for b in buckets:
+                    rows.setdefault(b, []).append((cid, n, sig))
             out = [(b, np.array([r[:2] for r in x], np.int64).tobytes(), b"".join(r[2] for r in x)) for b, x in rows.items()]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["bucket", "head", "bits"])
 
@@ -344,8 +348,7 @@ def candidate_edges(docs: DataFrame, reps: DataFrame, lists: DataFrame) -> DataF
         return pa.table({"src": names[moved], "dst": names[label[moved]]})
 
     buckets = lists.mapInArrow(where, "part int, bucket int, cids binary").groupBy("part").applyInArrow(gather, "cid long, buckets array<int>")
-    asked = reps.join(buckets, "cid")
-    signed = docs.select("doc_id", "text").join(asked, "doc_id").select("cid", "buckets", "text").mapInArrow(sign, "bucket int, head binary, bits binary")
+    signed = reps.select("cid", "n", "sig").join(buckets, "cid").mapInArrow(sign, "bucket int, head binary, bits binary")
     return lists.groupBy("bucket").cogroup(signed.groupBy("bucket")).applyInArrow(meet, "src long, dst long")
 
 
@@ -465,41 +468,55 @@ def _local(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "cid long, old long, label long")
 
 
+def _salted(rows: DataFrame, new: DataFrame) -> DataFrame:
+    """``rows`` with label left-joined to ``new`` (label, to): rows of one label go to ``SALTS`` shares, so that a large class isn't one task's."""
+    spread = new.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALTS)).cast("int")).join(spread, ["label", "salt"], "left").drop("salt")
+
+
 def _relabel(rows: DataFrame, merges: DataFrame) -> DataFrame:
     """``rows`` with labels replaced by the component of what ``merges`` (old, label) unites."""
     edges = merges.where("old <> label").select(F.col("old").alias("src"), F.col("label").alias("dst")).distinct()
     new = connected_components(edges).select(F.col("id").alias("label"), F.col("component").alias("to"))
-    return rows.join(new, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
+    return _salted(rows, new).withColumn("label", F.coalesce("to", "label")).drop("to")
 
 
-def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, n_shingles, cid) of every row, (cid, label) of every class that links with another).
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((doc_id, n_shingles, cid) of every row, (cid, doc_id) of every class with a named document, (cid, label) of every class that may link).
 
     ``docs`` has doc_id and text.
     """
     seen = table(measure(docs), "shingle-sets")
-    rows = seen.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("f1")).alias("cid"), "f2")
-    firsts = table(rows.where("cid IS NOT NULL AND doc_id IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("doc_id")), "classes")
-    lists = table(shared_lists(docs, order_of(seen)), "shared-shingles")
-    comps = cut(connected_components(candidate_edges(docs, firsts, lists)).select(F.col("id").alias("cid"), F.col("component").alias("comp")))
+    sized = seen.where("kind = 0 AND n > 0")
+    # classes by all 128 bits; those that share the first half (about n * n / 2**65 pairs) go by the second
+    clashing = frozenset(r[0] for r in sized.groupBy("f1", "f2").agg(F.lit(1)).groupBy("f1").count().where("count > 1").select("f1").collect())
+    cid = F.when(F.col("f1").isin(list(clashing)), F.col("f2")).otherwise(F.col("f1")) if clashing else F.col("f1")
+    rows = seen.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, cid).alias("cid"))
+    firsts = table(sized.where("doc_id IS NOT NULL").groupBy(cid.alias("cid")).agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig")), "classes")
+    lists = table(shared_lists(docs, order_of(seen), clashing), "shared-shingles")
+    comps = cut(connected_components(candidate_edges(firsts, lists)).select(F.col("id").alias("cid"), F.col("component").alias("comp")))
+    drop(lists)
     sizes = comps.groupBy("comp").agg(F.count("*").alias("size"))
-    reps = firsts.join(comps, "cid").join(sizes, "comp").withColumn("parts", F.ceil(F.col("size") / CHUNK).cast("int"))
+    reps = firsts.select("cid", "doc_id").join(comps, "cid").join(sizes, "comp").withColumn("parts", F.ceil(F.col("size") / CHUNK).cast("int"))
 
     def sets_of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             sets = [s for t in batches(column(batch, "text")) for s in shingle_sets(t, K)]
-            right = pa.array([len(s) > 0 and fingerprint(s)[0] == c for s, c in zip(sets, column(batch, "cid").to_pylist())], pa.bool_())
+            right = pa.array([len(s) > 0 and named(fingerprint(s), clashing) == c for s, c in zip(sets, column(batch, "cid").to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("comp", "parts", "cid")), pa.array([s.tobytes() for s in sets], pa.binary())], ["comp", "parts", "cid", "set"]).filter(right)
 
-    found = docs.select("doc_id", "text").join(reps, "doc_id").select("comp", "parts", "cid", "text").mapInArrow(sets_of, "comp long, parts int, cid long, set binary")
+    reps = cut(reps)
+    wanted, _ = may_have(docs.select("doc_id", "text"), "doc_id", reps.select("doc_id"))
+    found = wanted.join(reps, "doc_id").select("comp", "parts", "cid", "text").mapInArrow(sets_of, "comp long, parts int, cid long, set binary")
     found = found.withColumn("label", F.col("cid")).withColumn("side", F.lit(-1))
     pick = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
-    large = sizes.where(F.col("size") > CHUNK).limit(1).count() > 0
-    if not large:
+    known = firsts.select("cid", "doc_id")
+    if not sizes.where(F.col("size") > CHUNK).limit(1).count():
         local = _local(found.withColumn("part", F.lit(0)))
-        return rows, cut(local.groupBy("cid").agg(F.min("label").alias("label")))
-    found = table(found.withColumn("part", pick), "candidate-sets")
-    found = table(found.drop("label").join(cut(_local(found)).groupBy("cid").agg(F.min("label").alias("label")), "cid").dropDuplicates(["cid"]), "linked-sets")
+        return rows, known, cut(local.groupBy("cid").agg(F.min("label").alias("label")))
+    sets = table(found.withColumn("part", pick), "candidate-sets")
+    found = table(sets.drop("label").join(cut(_local(sets)).groupBy("cid").agg(F.min("label").alias("label")), "cid").dropDuplicates(["cid"]), "linked-sets")
+    drop(sets)
     big = found.where("parts > 1")
     # one set of every class of links, dealt anew
     heads = big.where("cid = label")
@@ -517,7 +534,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     right = apart.join(blocks, "comp").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("p", F.col("part")).withColumn("side", F.lit(1))
     cols = ["comp", (F.col("block") * F.col("parts") + F.col("p")).alias("part"), "cid", "label", "side", "set"]
     merges = cut(_local(left.select(*cols).unionByName(right.select(*cols))))
-    return rows, cut(_relabel(labels, merges).select("cid", "label"))
+    drop(found)
+    return rows, known, cut(_relabel(labels, merges).select("cid", "label"))
 
 
 def link(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
@@ -526,35 +544,45 @@ def link(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
 
 
 def _linked(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows, labels = classes(docs)
-    named = rows.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("least")).join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "label").select("cid", "label", "component_id")
-    return rows.join(named, "cid", "left").select("doc_id", "n_shingles", "cid", "label", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    docs = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).alias("text"))
+    rows, firsts, labels = classes(docs)
+    tied = cut(firsts.join(labels, "cid"))
+    least = tied.groupBy("label").agg(F.min("doc_id").alias("to"))
+    tied = _salted(tied, least).select("cid", "label", F.col("to").alias("component_id"))
+    alone = firsts.join(labels, "cid", "left_anti").select("cid", F.col("cid").alias("label"), F.col("doc_id").alias("component_id"))
+    rows = rows.join(tied.unionByName(alone), "cid", "left")
+    return rows.select("doc_id", "n_shingles", "cid", F.coalesce("label", "cid").alias("label"), F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each component (the one with the least doc_id, then text), columns as given.
 
     Of repeated rows (doc_id and text alike) one stays. Texts without shingles and rows without a doc_id all stay.
+    Texts are moved only where their doc_id may be one that doesn't stay.
     """
-    found = table(_linked(docs), "components").where("doc_id IS NOT NULL")
+    found = table(_linked(docs.select("doc_id", "text")), "components").where("doc_id IS NOT NULL")
     ids = found.groupBy("doc_id").agg(F.max((F.col("doc_id") != F.col("component_id")).cast("int")).alias("gone"), F.count("*").alias("rows"))
-    kept = docs.join(ids.where("gone = 1 OR rows > 1").select(F.col("doc_id").alias("gone_id")), F.col("gone_id") == docs["doc_id"], "left_anti")
-    many = ids.where("rows > 1").select(F.col("doc_id").alias("many_id"))
+    gone_id, many_id, stay_id, stay_text = unused(docs.columns, "gone_id", "many_id", "stay_id", "stay_text")
+    names = [quoted(c) for c in docs.columns]
+    gone = cut(ids.where("gone = 1 OR rows > 1").select(F.col("doc_id").alias(gone_id), "rows"))
+    maybe, others = may_have(docs, "doc_id", gone.select(gone_id))
+    kept = maybe.join(gone.select(gone_id), F.col(gone_id) == F.col("doc_id"), "left_anti").select(*names).unionByName(others)
+    many = gone.where("rows > 1").select(F.col(gone_id).alias(many_id))
     if not many.limit(1).count():
         return kept
-    again = docs.join(many, F.col("many_id") == docs["doc_id"], "left_semi")
+    again = may_have(docs, "doc_id", many)[0].join(many, F.col(many_id) == F.col("doc_id"), "left_semi")
 
     def cids(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             sets = [s for t in batches(column(batch, "text")) for s in shingle_sets(t, K)]
-            found = pa.array([fingerprint(s)[0] if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "text"), found], ["doc_id", "text", "cid"])
+            both = [fingerprint(s) if len(s) else (None, None) for s in sets]
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "text"), *(pa.array([f[i] for f in both], pa.int64()) for i in (0, 1))], ["doc_id", "text", "f1", "f2"])
 
-    texts = again.select(F.col("doc_id").cast("long").alias("doc_id"), "text").distinct().mapInArrow(cids, "doc_id long, text string, cid long")
+    # a class goes by either half of its bits (``named``)
+    texts = again.select(F.col("doc_id").cast("long").alias("doc_id"), "text").distinct().mapInArrow(cids, "doc_id long, text string, f1 long, f2 long")
     first = found.where("cid IS NOT NULL AND doc_id = component_id").select("doc_id", "cid", "label").distinct()
-    stay = texts.where("cid IS NULL").select("doc_id", "text").union(texts.join(first, ["doc_id", "cid"]).groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text"))
-    stay = stay.select(F.col("doc_id").alias("stay_id"), F.col("text").alias("stay_text"))
-    return kept.unionByName(again.join(stay, (F.col("stay_id") == again["doc_id"]) & F.col("stay_text").eqNullSafe(again["text"]), "left_semi").dropDuplicates(["doc_id", "text"]))
+    either = texts.select("doc_id", "text", F.explode(F.array("f1", "f2")).alias("cid")).where("cid IS NOT NULL")
+    stay = texts.where("f1 IS NULL").select("doc_id", "text").union(either.join(first, ["doc_id", "cid"]).groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text"))
+    stay = stay.select(F.col("doc_id").alias(stay_id), F.col("text").alias(stay_text))
+    same = (F.col(stay_id) == F.col("doc_id")) & F.col(stay_text).eqNullSafe(F.col("text"))
+    return kept.unionByName(again.join(stay, same, "left_semi").dropDuplicates(["doc_id", "text"]).select(*names))
