@@ -11,7 +11,7 @@ broadcasts it or splits a hot source).
 
 Null or empty texts have size 0 and take nothing. A null source is a source of
 its own, last in order. Repeated rows with one id share their draw. Extra columns
-are ignored by :func:`plan_mix` and carried by :func:`emit_mix`. Empty tables give
+are ignored by :func:`plan_mix` and carried by :func:`emit_mix`, whatever their names. Empty tables give
 empty results. If all sizes are 0, so are all targets.
 """
 
@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from causeway.llm.rows import quoted, unused
+
 #: Fixed values of the contract: weights in turn, and how often a source is used at most.
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -62,27 +64,30 @@ def draw(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(code, 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
 
 
-def _with_copies(docs: DataFrame, text: str, source: str, doc_id: str, weights, cap, seed) -> DataFrame:
-    rows = docs.select(F.col(source).alias("mix_source"), word_count(F.col(text)).alias("mix_size"))
-    targets = source_targets(rows, weights, cap).withColumnRenamed("mix_source", "mix_of")
-    sized = docs.withColumn("mix_size", word_count(F.col(text)))
-    joined = sized.join(targets, sized[source].eqNullSafe(targets["mix_of"]), "left").drop("mix_of")
-    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0)
-    copies = F.floor(rate) + (draw(F.col(doc_id), seed) < rate - F.floor(rate)).cast("long")
-    return joined.withColumn("mix_copies", F.when(F.col("mix_size") > 0, copies).otherwise(F.lit(0)).cast("long"))
+def _with_copies(docs: DataFrame, text: str, source: str, doc_id: str, weights, cap, seed) -> tuple[DataFrame, list[str]]:
+    """``docs`` and columns (names given back) for size, source_size, target and copies."""
+    size, of, total, target, copies = names = unused(docs.columns, "mix_size", "mix_of", "mix_source_size", "mix_target", "mix_copies")
+    rows = docs.select(quoted(source).alias("mix_source"), word_count(quoted(text)).alias("mix_size"))
+    targets = source_targets(rows, weights, cap).toDF(of, total, target)
+    joined = docs.withColumn(size, word_count(quoted(text))).join(targets, quoted(source).eqNullSafe(F.col(of)), "left")
+    rate = F.when(F.col(total) > 0, F.least(F.col(target) / F.col(total), F.lit(float(cap)))).otherwise(0.0)
+    times = F.floor(rate) + (draw(quoted(doc_id), seed) < rate - F.floor(rate)).cast("long")
+    return joined.withColumn(copies, F.when(F.col(size) > 0, times).otherwise(F.lit(0)).cast("long")), [size, total, target, copies]
 
 
 def plan_mix(docs: DataFrame, text="text", source="source", doc_id="doc_id", weights=WEIGHTS, cap=CAP, seed=SEED) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source"))
-    out = _with_copies(docs, "text", "source", "doc_id", weights, cap, seed)
-    return out.select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", (F.col("mix_size") * F.col("mix_copies")).alias("taken"), F.col("mix_copies").alias("copies"))
+    docs = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"), quoted(source).alias("source"))
+    out, (size, total, target, copies) = _with_copies(docs, "text", "source", "doc_id", weights, cap, seed)
+    return out.select("doc_id", F.col(size).alias("size"), F.col(total).alias("source_size"), F.col(target).alias("target"), (F.col(size) * F.col(copies)).alias("taken"), F.col(copies).alias("copies"))
 
 
 def emit_mix(docs: DataFrame, text="text", source="source", doc_id="doc_id", weights=WEIGHTS, cap=CAP, seed=SEED) -> DataFrame:
     """The documents themselves, each as many times as the mix takes it; columns as given."""
-    out = _with_copies(docs, text, source, doc_id, weights, cap, seed)
-    return out.where("mix_copies > 0").select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("mix_copies").cast("int"))).alias("mix_copy")).drop("mix_copy")
+    out, (*_, copies) = _with_copies(docs, text, source, doc_id, weights, cap, seed)
+    names = [quoted(c) for c in docs.columns]
+    (turn,) = unused(docs.columns, "mix_turn")
+    return out.where(F.col(copies) > 0).select(*names, F.explode(F.array_repeat(F.lit(1), F.col(copies).cast("int"))).alias(turn)).select(*names)
 
 
 def oracle(weights=WEIGHTS, cap=CAP, seed=SEED) -> str:

@@ -7,6 +7,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of an Arrow batch: bounds what a Python worker holds of long texts.
 ARROW_ROWS = 1000
@@ -67,5 +68,14 @@ def quoted(name: str) -> F.Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def map_rows(docs: DataFrame, run, *more: T.StructField) -> DataFrame:
+    """``docs.mapInArrow`` for columns of any name, ``more`` behind them; Spark itself takes none with a dot."""
+    names = docs.columns
+    plain = unused(names, *(f"column_{i}" for i in range(len(names))))
+    plain = [p if set(n) & set(".`") else n for n, p in zip(names, plain)]
+    fields = [T.StructField(p, f.dataType, f.nullable) for p, f in zip(plain, docs.schema.fields)]
+    return docs.toDF(*plain).mapInArrow(run, T.StructType([*fields, *more])).toDF(*names, *(f.name for f in more))
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from causeway.llm import linear, quality_rules
-from causeway.llm.rows import column
+from causeway.llm.rows import column, map_rows, quoted, unused
 from causeway.llm.textkernel import Texts, batches, mix
 from causeway.shared import cut
 
@@ -191,17 +191,16 @@ def train(docs: DataFrame, per_side: int = PER_SIDE) -> tuple[Model, dict]:
     return Model(posterior, weights[: linear.BUCKETS], weights[linear.BUCKETS :, 0], bias), report
 
 
-def _scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (any columns, text among them) with quality_score and votes_for_good/bad."""
+def _scored(docs: DataFrame, model: Model, score: str) -> DataFrame:
+    """``docs`` (any columns, text among them) and a column ``score``."""
     ship = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             got = [ship.value.score(t) for t in batches(column(batch, "text"))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(got) if got else np.zeros(0), pa.float64())], [*names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(got) if got else np.zeros(0), pa.float64())], [*batch.schema.names, score])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())]))
+    return map_rows(docs, run, T.StructField(score, T.DoubleType()))
 
 
 def classify(docs: DataFrame, text="text", doc_id="doc_id", **bounds) -> DataFrame:
@@ -221,4 +220,5 @@ def classify(docs: DataFrame, text="text", doc_id="doc_id", **bounds) -> DataFra
 def keep_good(docs: DataFrame, **bounds) -> DataFrame:
     """The documents that are kept, all columns as given."""
     model, _ = train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), **bounds)
-    return _scored(docs, model).where(F.col("quality_score") >= KEEP).drop("quality_score")
+    (score,) = unused(docs.columns, "quality_score")
+    return _scored(docs, model, score).where(F.col(score) >= KEEP).select(*map(quoted, docs.columns))

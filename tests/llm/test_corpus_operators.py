@@ -258,3 +258,34 @@ def test_pipeline_against_plain_python(spark):
     assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:]))
     assert [r["doc_id"] for r in got] == sorted(r["doc_id"] for r in got)
     assert len(corpus_pipeline.STAGES) == 5 and token_output.END == 1
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    names = ["target", "source_size", "mix_of", "mix_copies", "mix_size", "MIX_TARGET", "mix_turn", "quality_score", "gone_id", "many_id", "stay_id", "stay_text", "filter_place", "filter_bits", "filter_bit", "a.b", "label", "cid", "rows", "component_id"]
+    base = words(random.Random(1), 80, 5)
+    rows = [(1, base), (2, base + " z"), (3, base), (3, "another text of some words"), (4, None), (None, "x"), (5, "one two")]
+    docs = spark.createDataFrame([(i, t, "en", "s", *range(len(names))) for i, t in rows], "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    for stage in (weak_labels.keep_good, jaccard_join.keep_first, mixing.emit_mix):
+        got = stage(docs)
+        assert got.columns == docs.columns
+        assert all(tuple(r)[4:] == tuple(range(len(names))) for r in got.collect())
+    kept = jaccard_join.keep_first(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == sorted([(1, base), (3, "another text of some words"), (4, ""), (0, "x"), (5, "one two")])
+
+
+def test_filter_passes_all_that_are_among_the_ids(spark, monkeypatch):
+    from causeway.llm import rows as R
+
+    table = spark.range(-3000, 3000).union(spark.createDataFrame([(None,)], "id long"))
+    for bits in (1 << 25, 1 << 10):
+        monkeypatch.setattr(R, "FILTER_BITS", bits)
+        some, others = R.may_have(table, "id", spark.range(0, 6000, 37))
+        passed = {r[0] for r in some.collect()}
+        assert set(range(0, 3000, 37)) <= passed and len(passed) + others.count() == 6001
+        assert bits < 1 << 20 or len(passed) < 90
+
+
+def test_names_that_clash_keep_classes_apart(spark, monkeypatch):
+    real = jaccard_join.fingerprint
+    monkeypatch.setattr(jaccard_join, "fingerprint", lambda s: (5, real(s)[1]) if len(s) in (3, 4) else real(s))
+    assert jaccard_join.named((5, 9), frozenset([5])) == 9 and jaccard_join.named((5, 9), frozenset()) == 5
