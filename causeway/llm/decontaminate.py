@@ -1,9 +1,12 @@
 """Benchmark decontamination: BM25 with block-max WAND, then overlap checks.
 
 Test items are indexed by word; an item's BM25 impacts are divided by its score
-against itself, so 1 means that a passage has all its words. Every document is cut
-into overlapping passages (twice as long as the longest item of the index, half a
-passage apart, so each item fits into one whole). Every passage is a query: block
+against itself, so 1 means that a passage has all its words. Word frequencies, their
+number of items and mean length are those of the whole benchmark. Every document is cut
+into overlapping passages (for each item twice the power of two that holds its words,
+half a passage apart, so each item fits into one whole); so an item's score in a
+document depends on neither the other items' lengths nor on how the items are dealt to
+indices. Every passage is a query: block
 maxima of its rarer words' impacts, summed for all passages of a batch at once,
 discard most (the bound counts what frequent words could add to an item);
 block-max WAND then retrieves all items at or above ``THRESHOLD``. A retrieved item
@@ -11,11 +14,13 @@ counts if the passage has at least ``OVERLAP`` of the 5-grams of its question (a
 but its last sentence) and of its answer (the last sentence, or the last quarter of
 a single one).
 
-The index is a broadcast of at most ``SHARD`` items of like length; a larger
-benchmark is served shard by shard. Documents are read where they lie and never
-shuffled. Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased.
+An index holds items of like length. Indices of about ``SHARD`` items and
+``SHARD_WORDS`` words at most are broadcast together and searched in one pass over the
+documents; a larger benchmark takes several passes. Documents are read where they lie
+and never shuffled; of a long text all passages are made, 2 MB of texts at a time or
+the one text that is longer. Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased.
 
-Null and empty texts match nothing; items without a word are never found; repeated
+Null and empty texts match nothing; a null doc_id is reported as null; items without a word are never found; repeated
 items count once per item_id and text; repeated documents are judged alike. Empty
 tables on either side give no hits. Extra columns are ignored by :func:`search` and
 carried by :func:`drop_contaminated`.
@@ -30,13 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.mixing import word_count
-from causeway.llm.rows import column
+from causeway.llm.rows import column, map_rows
 from causeway.llm.textkernel import LOWER, Texts, batches, windows
+from causeway.shared import cut
 
 THRESHOLD, OVERLAP, GRAM = 0.6, 0.5, 5
 K1, B = 1.2, 0.75
-SHARD, POSTINGS, GROUP = 20_000, 32, 4
+SHARD, SHARD_WORDS, POSTINGS, GROUP = 20_000, 2_000_000, 32, 4
+#: Half a passage has so many words at least.
+LEAST_STRIDE = 32
 
 _NOT_WORD = np.array([not (b >= 128 or chr(b).isalnum()) for b in range(256)])
 _END = np.isin(np.arange(256), list(b".!?\n"))
@@ -55,14 +62,26 @@ def grams(codes: np.ndarray, k: int) -> np.ndarray:
     return np.unique(windows(codes, np.array([0, len(codes)]), k)[0])
 
 
+def stride_of(n_words: int) -> int:
+    """Half a passage for items of so many words."""
+    return max(LEAST_STRIDE, 1 << max(0, n_words - 1).bit_length())
+
+
 class Index:
-    def __init__(self, item_ids: list, texts: list[str]):
+    """Items of like length, with their words' impacts.
+
+    ``known`` has (sorted word hashes, items with each, number of items, mean words) of
+    the whole benchmark; without it these items are all. No item may have more than
+    ``stride`` words.
+    """
+
+    def __init__(self, item_ids: list, texts: list[str], known: tuple[np.ndarray, np.ndarray, int, float] | None = None, stride: int | None = None):
         t = next(iter(batches(pa.array(texts, pa.string()), limit=1 << 40)))
         codes, start, first = words(t)
         sentence = np.concatenate([[0], np.cumsum(_END[t.data])])[start] if len(start) else np.zeros(0, np.int64)
         self.item_ids, self.n = item_ids, len(item_ids)
         sizes = np.diff(first)
-        self.stride = max(32, int(sizes.max(initial=1)))
+        self.stride = stride or stride_of(int(sizes.max(initial=1)))
         owner = np.repeat(np.arange(self.n), sizes)
         self.question, self.answer = [], []
         for i in range(self.n):
@@ -76,13 +95,13 @@ class Index:
         self.vocabulary, term = np.unique(codes, return_inverse=True)
         pairs, tf = np.unique(term.astype(np.int64) * self.n + owner, return_counts=True)
         term, item = pairs // max(1, self.n), pairs % max(1, self.n)
-        df = np.bincount(term, minlength=len(self.vocabulary))
-        idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
-        average = sizes.mean() if self.n else 1.0
+        here = np.bincount(term, minlength=len(self.vocabulary))
+        df, n, average = (here, self.n, sizes.mean() if self.n else 1.0) if known is None else (known[1][np.searchsorted(known[0], self.vocabulary)], *known[2:])
+        idf = np.log1p((n - df + 0.5) / (df + 0.5))
         raw = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[item] / max(average, 1e-9)))
         own = np.bincount(item, raw, self.n)
         self.impact, self.item = raw / own[item], item
-        self.at = np.concatenate([[0], np.cumsum(df)])
+        self.at = np.concatenate([[0], np.cumsum(here)])
         self.most = np.maximum.reduceat(self.impact, self.at[:-1]) if len(term) else np.zeros(0)
         self.lasting: dict[float, tuple] = {}
         self.blocks = -(-self.n // GROUP)
@@ -186,9 +205,9 @@ class Index:
                 for x in lists[:pivot]:
                     move(x, item)
 
-    def hits(self, texts: Texts, threshold: float, overlap: float) -> list[tuple[int, int, float, float, float, int]]:
+    def hits(self, texts: Texts, threshold: float, overlap: float, parsed: tuple | None = None) -> list[tuple[int, int, float, float, float, int]]:
         """(text, item, score, question overlap, answer overlap, first byte of the passage), the best of each text and item."""
-        codes, start, first = words(texts)
+        codes, start, first = words(texts) if parsed is None else parsed
         at, term = self.terms(codes)
         if not len(at):
             return []
@@ -220,31 +239,62 @@ class Index:
         return [(i, item, *v) for (i, item), v in sorted(best.items())]
 
 
-def indices(benchmark: DataFrame, item_id="item_id", text="text", shard: int = SHARD) -> Iterator[Index]:
-    """Indices of at most about ``shard`` items each, items of like length together."""
-    rows = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).where(F.col("text").isNotNull()).distinct()
-    rows = rows.withColumn("length", F.ceil(F.log2(F.greatest(F.lit(64), word_count(F.col("text"))))))
-    for r in rows.groupBy("length").count().orderBy("length").collect():
-        n = -(-r["count"] // shard)
-        for k in range(n):
-            part = rows.where((F.col("length") == r["length"]) & (F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)).select("item_id", "text").collect()
-            if part:
-                part = sorted(part, key=lambda x: (x["item_id"] is None, x["item_id"] or 0, x["text"]))
-                yield Index([x["item_id"] for x in part], [x["text"] for x in part])
+def _parsed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        n, codes = [], []
+        for t in batches(column(batch, "text")):
+            code, _, first = words(t)
+            n += np.diff(first).tolist()
+            codes += [np.unique(code[a:b]).view(np.int64) for a, b in zip(first, first[1:])]
+        yield pa.RecordBatch.from_arrays([column(batch, "item_id"), column(batch, "text"), pa.array(n, pa.int32()), pa.array([stride_of(x) for x in n], pa.int32()), pa.array(codes, pa.list_(pa.int64()))], ["item_id", "text", "n", "stride", "codes"])
+
+
+def indices(benchmark: DataFrame, item_id="item_id", text="text", shard: int = SHARD, shard_words: int = SHARD_WORDS) -> Iterator[list[Index]]:
+    """Indices of items of like length, those of one pass together; sizes are bounded as ``shard`` says, give or take a hash's luck."""
+    rows = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).where(F.col("text").isNotNull()).distinct()
+    rows = cut(rows.mapInArrow(_parsed, "item_id long, text string, n int, stride int, codes array<long>").where("n > 0"))
+    n, average = rows.agg(F.count("*"), F.avg("n")).first()
+    if not n:
+        return
+    df = cut(rows.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("df")))
+    held, items, size = [], 0, 0
+    for r in rows.groupBy("stride").agg(F.count("*").alias("items"), F.sum("n").alias("size")).orderBy("stride").collect():
+        shards = max(-(-r["items"] // shard), -(-r["size"] // shard_words))
+        for k in range(shards):
+            some = rows.where((F.col("stride") == r["stride"]) & (F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k))
+            part = sorted(some.select("item_id", "text").collect(), key=lambda x: (x["item_id"] is None, x["item_id"] or 0, x["text"]))
+            if not part:
+                continue
+            if held and (items + len(part) > shard or size + r["size"] // shards > shard_words):
+                yield held
+                held, items, size = [], 0, 0
+            seen = df.join(some.select(F.explode("codes").alias("code")).distinct(), "code").toArrow()
+            code, count = seen["code"].to_numpy().view(np.uint64), seen["df"].to_numpy()
+            order = np.argsort(code)
+            held.append(Index([x["item_id"] for x in part], [x["text"] for x in part], (code[order], count[order], n, average), r["stride"]))
+            items, size = items + len(part), size + r["size"] // shards
+    yield held
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame, threshold: float, **sizes) -> Iterator:
+    for held in indices(benchmark, **sizes):
+        for index in held:
+            index.values(threshold)  # made once, sent along
+        yield docs.sparkSession.sparkContext.broadcast(held)
 
 
 def search(docs: DataFrame, benchmark: DataFrame, text="text", doc_id="doc_id", threshold=THRESHOLD, overlap=OVERLAP, **sizes) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap, passage_start) of every contaminated document and item."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema, out = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, passage_start long", None
-    for index in indices(benchmark, **sizes):
-        index.values(threshold)  # made once, sent along
-        ship = docs.sparkSession.sparkContext.broadcast(index)
+    for ship in _passes(docs, benchmark, threshold, **sizes):
 
         def run(it: Iterator[pa.RecordBatch], ship=ship) -> Iterator[pa.RecordBatch]:
             for batch in it:
-                ids = column(batch, "doc_id")
-                rows = [(ids[t.first + i].as_py(), ship.value.item_ids[item], *rest) for t in batches(column(batch, "text")) for i, item, *rest in ship.value.hits(t, threshold, overlap)]
+                ids, rows = column(batch, "doc_id"), []
+                for t in batches(column(batch, "text")):
+                    parsed = words(t)
+                    rows += [(ids[t.first + i].as_py(), index.item_ids[item], *rest) for index in ship.value for i, item, *rest in index.hits(t, threshold, overlap, parsed)]
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "passage_start"])
 
@@ -255,14 +305,15 @@ def search(docs: DataFrame, benchmark: DataFrame, text="text", doc_id="doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold=THRESHOLD, overlap=OVERLAP, **sizes) -> DataFrame:
     """The documents without a hit, all columns as given."""
-    for index in indices(benchmark, **sizes):
-        index.values(threshold)  # made once, sent along
-        ship = docs.sparkSession.sparkContext.broadcast(index)
+    for ship in _passes(docs, benchmark, threshold, **sizes):
 
         def run(it: Iterator[pa.RecordBatch], ship=ship) -> Iterator[pa.RecordBatch]:
             for batch in it:
-                bad = {t.first + h[0] for t in batches(column(batch, "text")) for h in ship.value.hits(t, threshold, overlap)}
+                bad = set()
+                for t in batches(column(batch, "text")):
+                    parsed = words(t)
+                    bad.update(t.first + h[0] for index in ship.value for h in index.hits(t, threshold, overlap, parsed))
                 yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_rows(docs, run)
     return docs

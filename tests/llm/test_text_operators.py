@@ -209,6 +209,63 @@ def test_decontamination(spark):
     assert decontaminate.search(docs, bench.limit(0)).count() == 0 and decontaminate.search(docs.limit(0), bench).count() == 0
 
 
+def plain_hits(items, texts, threshold, overlap):
+    """{(text, item): score} by plain BM25 over every passage, with plain sets of 5-grams."""
+    import math
+
+    words = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in t))
+    bags = {i: words(t) for i, t in items.items()}
+    df = {}
+    for bag in bags.values():
+        for w in set(bag):
+            df[w] = df.get(w, 0) + 1
+    n, mean = len(bags), sum(map(len, bags.values())) / len(bags)
+
+    def impact(w, bag):
+        tf = bag.count(w)
+        return math.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(bag) / mean))
+
+    def parts(i):
+        at, ends = [], [m.start() for m in re.finditer(r"[.!?\n]", items[i])]
+        for m in re.finditer(r"[A-Za-z0-9\x80-\U0010ffff]+", items[i]):
+            at.append(sum(e < m.start() for e in ends))
+        k = at.index(at[-1]) if at[0] != at[-1] else len(at) - max(1, len(at) // 4)
+        return bags[i][:k], bags[i][k:]
+
+    grams = lambda x, k: {tuple(x[j : j + k]) for j in range(len(x) - k + 1)}
+    out = {}
+    for d, text in enumerate(texts):
+        have = words(text or "")
+        for i, bag in bags.items():
+            own, half = sum(impact(w, bag) for w in set(bag)), decontaminate.stride_of(len(bag))
+            for lo in range(0, max(1, -(-len(have) // half) - 1) * half, half):
+                passage = have[lo : lo + 2 * half]
+                score = sum(impact(w, bag) for w in set(bag) & set(passage)) / own
+                if score >= threshold:
+                    shares = [len(grams(p, min(5, len(p))) & grams(passage, min(5, len(p)))) / len(grams(p, min(5, len(p)))) if p else 1.0 for p in parts(i)]
+                    if min(shares) >= overlap:
+                        out[d, i] = max(score, out.get((d, i), 0))
+    return out
+
+
+def test_decontamination_against_plain_bm25(spark):
+    rng = random.Random(8)
+    w = lambda n: " ".join(rng.choices(["the", "of", "a", *(f"w{i}" for i in range(60))], k=n))
+    items = {i: f"{w(rng.randint(3, 40))}. {w(rng.randint(1, 15))}" for i in range(60)} | {60: w(90), 61: "é ü? x"}
+    texts = [w(rng.randint(0, 150)) for _ in range(25)]
+    for i in range(0, 60, 2):  # whole, cut short, and with words exchanged
+        x = items[i].split()
+        texts.append(w(rng.randint(0, 60)) + " " + " ".join(x[: len(x) - i % 5] if i % 3 else [("zz" if rng.random() < 0.1 else y) for y in x]) + " " + w(rng.randint(0, 200)))
+    texts += [items[60], items[61], None, ""]
+    want = plain_hits(items, texts, 0.6, 0.5)
+    assert 10 < len(want)
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for sizes in ({}, {"shard": 3}, {"shard_words": 100}):
+        got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.search(docs, bench, **sizes).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_held_out_agrees(spark):
     ids = spark.createDataFrame([(i,) for i in [*range(50), None]], "doc_id long")
     assert all(r[1] == is_held_out(r[0]) for r in ids.select("doc_id", held_out(F.col("doc_id"))).collect())
