@@ -10,8 +10,11 @@ specific (most labels; with a segment before without).
 
 Captures meet the list by (host, segment, fetch time): those triples are made
 distinct first, so a hot host costs a row per segment and time, not per capture,
-and the verdicts come back over the same triples, which spreads a hot host. The
-intervals join by key; nothing is broadcast unless its measured size allows it.
+and the verdicts come back over the same triples, which spreads a hot host. Suffixes
+that no entry names (a bare ``org`` is one of most captures) are dropped by a filter of
+fixed size before anything is moved; the rest joins the intervals by key and one of
+``SALTS`` shares, so that a listed suffix of many hosts isn't one task's. Nothing else
+is broadcast unless its measured size allows it.
 
 Null or unparsable URLs and null fetch times are never blocked, with null host and
 entry. Entries with a null key or date are ignored; of entries with the same key
@@ -24,8 +27,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from causeway.llm.rows import may_have
+from causeway.shared import cut
+
 #: Fixed values of the query: it has no list and no fetch times of its own, so both follow from the pages.
 FIRST_DAY, DAYS = "2024-01-01", 360
+#: Shares that the captures of one key are dealt to.
+SALTS = 16
 
 
 def host_of(url: Column) -> Column:
@@ -66,7 +74,11 @@ def judge(captures: DataFrame, entries: DataFrame, url="url", fetched="fetched",
     rows = captures.select(F.col(page_id).alias("page_id"), F.col(fetched).alias("fetched"), host_of(F.col(url)).alias("host"), segment_of(F.col(url)).alias("segment"))
     asked = rows.where("host IS NOT NULL AND fetched IS NOT NULL").select("host", "segment", "fetched").distinct()
     keyed = asked.select("*", F.explode(keys_of(F.col("host"), F.col("segment"))).alias("k")).select("host", "segment", "fetched", "k.key", "k.rank")
-    active = keyed.join(intervals(entries), "key").where((F.col("since") <= F.col("fetched")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until"))))
+    spans = cut(intervals(entries))
+    keyed = may_have(keyed.withColumn("code", F.xxhash64("key")), "code", spans.select(F.xxhash64("key").alias("code")).distinct())[0].drop("code")
+    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("host", "segment", "fetched"), F.lit(SALTS)).cast("int"))
+    spans = spans.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    active = keyed.join(spans, ["key", "salt"]).where((F.col("since") <= F.col("fetched")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until"))))
     verdict = active.groupBy("host", "segment", "fetched").agg(F.max_by(F.struct("entry_id", "key", "since", "action"), "rank").alias("v"))
     out = rows.join(verdict, ["host", "segment", "fetched"], "left")
     return out.select("page_id", "host", "fetched", F.col("v.entry_id").alias("entry_id"), F.col("v.key").alias("entry_key"), F.col("v.since").alias("since"), F.coalesce(F.col("v.action") == "block", F.lit(False)).alias("blocked"))
