@@ -27,6 +27,10 @@ rules:
     type: no-cycles
     level: folder
     rationale: folders in a cycle can't be understood or changed alone
+  - id: no-file-cycles
+    type: no-cycles
+    level: file
+    rationale: files that import each other load in an order that nobody chose
 """
 
 
@@ -78,6 +82,13 @@ def run_init(spark: SparkSession, args) -> int:
     return OK
 
 
+def violation(row) -> dict:
+    """One finding as it is printed: its edge as an object, absent fields left out."""
+    edge = {"from": row["src"], "to": row["dst"], "kind": row["kind"], "line": row["line"]}
+    out = {"rule": row["rule"], "severity": row["severity"], "message": row["message"], "edge": {k: v for k, v in edge.items() if v is not None} or None, "cycle": row["cycle"] and list(row["cycle"]), "rationale": row["rationale"], "fix": row["fix"]}
+    return {k: v for k, v in out.items() if v is not None}
+
+
 def run_check(spark: SparkSession, args) -> int:
     found = rules.load_rule_set(str(Path(args.dir) / RULES))
     built = extract(spark, args.dir, args.project, False)
@@ -87,7 +98,7 @@ def run_check(spark: SparkSession, args) -> int:
         print(f"warning: unused exemption {e.rule}: {e.src} -> {e.dst}", file=sys.stderr)
     for owner, glob in result.dead_patterns:
         print(f"warning: {owner}: pattern matches no file: {glob}", file=sys.stderr)
-    rows = [{k: v for k, v in r.asDict(True).items() if v is not None and k != "ord"} for r in result.violations.orderBy("ord", "src", "dst", "kind").collect()]
+    rows = [violation(r) for r in result.violations.orderBy("ord", "src", "dst", "kind").collect()]
     print(json.dumps({"violations": rows}, indent=2, ensure_ascii=False))
     return VIOLATIONS if rows else OK
 
@@ -142,11 +153,12 @@ def run_lookup(spark: SparkSession, args) -> int:
 def run_viz(spark: SparkSession, args) -> int:
     """A self-contained page with the encoded graph; no layout, a list of layers."""
     g = _stored(spark, args)
-    ids = [r["id"] for r in g.nodes.orderBy("id").collect()]
+    clean = lambda x: {k: v for k, v in x.items() if v is not None}
+    nodes = [clean({"id": r["id"], "ln": r["line"], "ann": r["annotation"] and clean(r["annotation"].asDict())}) for r in g.nodes.orderBy("id").collect()]
     encoded = [[r["f"], r["t"], r["k"], r["w"]] for r in E.dictionary_encode(g.nodes, g.edges, KINDS).orderBy("f", "t", "k").collect()]
     folders = build.folder_graph(g)
     true_cycles = [list(r["nodes"]) for c in (folders.cycles, g.cycles) for r in c.orderBy("id").collect()]
-    data = json.dumps({"root": g.root, "kinds": KINDS, "nodes": [{"id": i} for i in ids], "edges": encoded, "trueCycles": true_cycles}, ensure_ascii=False).replace("<", "\\u003c")
+    data = json.dumps({"root": g.root, "kinds": KINDS, "nodes": nodes, "edges": encoded, "trueCycles": true_cycles}, ensure_ascii=False).replace("<", "\\u003c")
     layers: dict[int, list[str]] = {}
     for r in recurse.view_layers(folders.nodes, folders.edges).orderBy("layer", "id").collect():
         layers.setdefault(r["layer"], []).append(r["id"])
@@ -171,6 +183,8 @@ def parser() -> argparse.ArgumentParser:
         for flag in ("out", "project"):
             if flag in extra:
                 c.add_argument(f"--{flag}")
+        if name == "viz":
+            c.add_argument("--no-open", action="store_true", help="the page is never opened; taken for compatibility")
         if "functions" in extra:
             c.add_argument("--functions", action="store_true")
     return p

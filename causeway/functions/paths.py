@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,9 +36,43 @@ def module_of(x) -> Column:
     return F.regexp_replace(_c(x), f"#{MODULE}\\z", "")
 
 
-def short_name(x) -> Column:
+def label_of(x, kind, hidden, files, functions) -> Column:
+    """A node's caption: a function's own name, a folder with its number of files if it hides some, a file with its number of functions."""
     x = _c(x)
-    return F.when(F.instr(x, "#") > 0, F.substring_index(x, "#", -1)).otherwise(F.substring_index(x, "/", -1))
+    last = F.substring_index(x, "/", -1)
+    folder = F.concat(last, F.when(_c(hidden) > 0, F.concat(F.lit(" +"), _c(files).cast("string"))).otherwise(""))
+    file = F.concat(last, F.when(_c(functions) > 0, F.concat(F.lit(" {"), _c(functions).cast("string"), F.lit("}"))).otherwise(""))
+    return F.when(_c(kind) == "function", F.substr(x, F.instr(x, F.lit("#")) + 1)).when(_c(kind) == "folder", folder).otherwise(file)
+
+
+# Areas of a web project in order, by what a file's path begins with; anything else is "other".
+AREAS = (("components", ("src/components",)), ("lib", ("src/lib",)), ("pages", ("src/pages",)))
+TOOL_FOLDERS = ("scripts", "prisma", "data")
+
+
+def area_of(x, areas: tuple[tuple[str, tuple[str, ...]], ...] = AREAS, tools: tuple[str, ...] = TOOL_FOLDERS) -> Column:
+    """The first area that a node's file belongs to."""
+    path = file_of(x)
+    out = F.when(F.substring_index(path, "/", 1).isin(*tools), "tooling").otherwise("other")
+    for key, prefixes in reversed(areas):
+        out = F.when(reduce(lambda a, b: a | b, (F.startswith(path, F.lit(p)) for p in prefixes)), key).otherwise(out)
+    return out
+
+
+def radius(kind, files, degree) -> Column:
+    """Size of a drawn node, by its files (folders) or its edges; 16 at most."""
+    n = F.when(_c(kind) == "folder", _c(files)).otherwise(_c(degree))
+    return F.least(F.lit(16.0), 3.5 + 2.2 * F.sqrt(F.greatest(n, F.lit(1))))
+
+
+def percent(part, whole) -> Column:
+    """Whole percent of one number in another; null where that is 0."""
+    return F.round(100.0 * _c(part) / F.nullif(_c(whole), F.lit(0)), 0)
+
+
+def saving(now, before) -> Column:
+    """Whole percent by which a number fell."""
+    return F.round(100.0 * (_c(before) - _c(now)) / F.nullif(_c(before), F.lit(0)), 0)
 
 
 def folded_kind(kind) -> Column:
@@ -78,17 +114,6 @@ def byte_size(text) -> Column:
     return F.octet_length(_c(text)).cast("long")
 
 
-def indent_of(text) -> Column:
-    return F.length(F.regexp_extract(_c(text), "^[ \\t]*", 0))
-
-
-def escape_html(text) -> Column:
-    x = _c(text)
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-        x = F.replace(x, F.lit(a), F.lit(b))
-    return x
-
-
 def matches_search(query: str, *columns) -> Column:
     """Case-blind containment in any of the columns, joined by spaces."""
     return F.contains(F.lower(F.concat_ws(" ", *map(_c, columns))), F.lit(query.lower()))

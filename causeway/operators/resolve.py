@@ -20,7 +20,7 @@ def _normal(path: Column) -> Column:
 
 
 def typescript_edges(imports: DataFrame, files: DataFrame, aliases: list[tuple[str, str]] = ()) -> DataFrame:
-    """(src, dst, kind, line): relative, root and aliased specifiers that name a project file; others are dropped.
+    """(src, dst, kind, line, specifier): relative, root and aliased specifiers that name a project file; others are dropped.
 
     Each (folder, specifier) is resolved once: candidates in order of preference
     meet the file set by equality, and the least place wins.
@@ -32,11 +32,11 @@ def typescript_edges(imports: DataFrame, files: DataFrame, aliases: list[tuple[s
     relative = F.when(F.startswith("specifier", F.lit(".")), F.concat_ws("/", "folder", "specifier"))
     bases = [relative, *[F.when(F.startswith("specifier", F.lit(a)), F.concat(F.lit(b), F.when(F.lit(a.endswith("/")), "/").otherwise(""), F.substr("specifier", F.lit(len(a) + 1)))) for a, b in aliases]]
     base = F.filter(F.array(*bases), lambda x: x.isNotNull())
-    clean = F.transform(base, lambda x: F.regexp_replace(_normal(x), r"\.js\z", ""))
+    clean = F.transform(base, lambda x: F.regexp_replace(_normal(x), r"\.[cm]?jsx?\z", ""))
     every = F.flatten(F.transform(clean, lambda x: F.array(*[F.concat(x, F.lit(s)) for s in SUFFIXES])))
     tried = distinct.select("folder", "specifier", F.posexplode(every).alias("ord", "id"))
     found = tried.join(files.select("id"), "id").groupBy("folder", "specifier").agg(F.min_by("id", "ord").alias("dst"))
-    return asked.join(found, ["folder", "specifier"]).select("src", "dst", "kind", "line")
+    return asked.join(found, ["folder", "specifier"]).select("src", "dst", "kind", "line", "specifier")
 
 
 def python_keys(files: DataFrame) -> DataFrame:
@@ -79,8 +79,8 @@ def function_graph(facts: DataFrame, files: DataFrame, aliases: list[tuple[str,
     nodes = decls.select(F.concat_ws("#", "path", "name").alias("id"), F.col("path").alias("file"), "line")
     links = facts.where("fact = 'import'").select("path", F.col("target").alias("specifier"), F.lit("value").alias("kind"), "line", F.lit(0).alias("skipped")).distinct()
     resolved = typescript_edges(links.select("path", "specifier", "kind", "line", "skipped"), files, aliases)
-    # a specifier's target: edges carry no specifier, so imports are matched by their statement's line
-    bound = facts.where("fact = 'import'").select("path", F.col("name").alias("local"), F.col("owner").alias("name"), "line").join(resolved.select(F.col("src").alias("path"), F.col("dst").alias("from_file"), "line"), ["path", "line"])
+    targets = resolved.select(F.col("src").alias("path"), F.col("dst").alias("from_file"), "specifier").distinct()
+    bound = facts.where("fact = 'import'").select("path", F.col("name").alias("local"), F.col("owner").alias("name"), F.col("target").alias("specifier")).join(targets, ["path", "specifier"]).drop("specifier")
     foreign = bound.join(decls.select(F.col("path").alias("from_file"), "name"), ["from_file", "name"]).select("path", "local", F.concat_ws("#", "from_file", "name").alias("dst"))
     constructors = decls.where(F.endswith("name", F.lit(".constructor"))).select("path", F.regexp_replace("name", r"\.constructor\z", "").alias("cls"), F.concat_ws("#", "path", "name").alias("dst"))
     uses = facts.where("fact IN ('call', 'reference', 'new', 'method')").select("path", "fact", "name", "line", F.col("start").alias("at"))

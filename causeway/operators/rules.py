@@ -17,6 +17,12 @@ from causeway.functions.globs import matches, matches_any, to_regex
 from causeway.model import ConfigError
 
 
+# The wording of findings, which scripts may compare.
+LAYER_MESSAGE = 'layer "%s" may not depend on layer "%s": %s -> %s'
+EDGE_MESSAGE = "forbidden edge: %s -> %s"
+CYCLE_MESSAGE = "%s cycle: %s"
+
+
 @dataclass(frozen=True)
 class Layer:
     name: str
@@ -154,16 +160,17 @@ def edge_violations(rule: Rule, edges: DataFrame, layers: tuple[Layer, ...] = ()
     if rule.type == "layer-order":
         names = F.array(*[F.lit(x.name) for x in layers])
         rows = rows.withColumn("a", layer_of(F.col("src"), layers)).withColumn("b", layer_of(F.col("dst"), layers)).where("a >= 0 AND b > a")
-        message = F.format_string("layer %s must not depend on later layer %s: %s -> %s", F.get(names, F.col("a")), F.get(names, F.col("b")), "src", "dst")
+        message = F.format_string(LAYER_MESSAGE, F.get(names, F.col("a")), F.get(names, F.col("b")), "src", "dst")
     else:
         rows = rows.where(matches_any(F.col("src"), list(rule.src)) & matches_any(F.col("dst"), list(rule.dst)))
-        message = F.format_string("forbidden dependency: %s -> %s", "src", "dst")
+        message = F.format_string(EDGE_MESSAGE, "src", "dst")
     return rows.select(F.lit(rule.id).alias("rule"), "src", "dst", "kind", "line", message.alias("message"), F.lit(rule.fix).cast("string").alias("fix"))
 
 
 def cycle_violations(rule: Rule, cycles: DataFrame) -> DataFrame:
     """(rule, cycle, message)."""
-    return cycles.select(F.lit(rule.id).alias("rule"), F.col("nodes").alias("cycle"), F.concat(F.lit("cycle: "), F.array_join("nodes", " <-> ")).alias("message"))
+    message = F.format_string(CYCLE_MESSAGE, F.lit(rule.level), F.array_join("nodes", " <-> "))
+    return cycles.select(F.lit(rule.id).alias("rule"), F.col("nodes").alias("cycle"), message.alias("message"))
 
 
 def exempted_by(exemptions: tuple[Exemption, ...]) -> Column:
@@ -186,18 +193,18 @@ def dead_patterns(rules: RuleSet, files: DataFrame) -> list[tuple[str, str]]:
 
 
 def check(rules: RuleSet, files: DataFrame, file_edges: DataFrame, cycles_of: dict[str, DataFrame]) -> CheckResult:
-    """All rules: violations (ord, rule, src, dst, kind, line, cycle, message, fix), unused exemptions, dead patterns."""
+    """All rules: violations (ord, rule, severity, rationale, src, dst, kind, line, cycle, message, fix), unused exemptions, dead patterns."""
     out = None
     for i, rule in enumerate(rules.rules):
         if rule.type == "no-cycles":
             rows = cycle_violations(rule, cycles_of[rule.level])
         else:
             rows = edge_violations(rule, file_edges, rules.layers).withColumn("exempt", exempted_by(rules.exemptions))
-        rows = rows.withColumn("ord", F.lit(i))
+        rows = rows.withColumn("ord", F.lit(i)).withColumn("severity", F.lit("error")).withColumn("rationale", F.lit(rule.rationale))
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     for name, kind in (("exempt", "int"), ("src", "string"), ("dst", "string"), ("kind", "string"), ("line", "int"), ("cycle", "array<string>"), ("fix", "string")):
         if name not in out.columns:
             out = out.withColumn(name, F.lit(None).cast(kind))
     used = {r["exempt"] for r in out.where("exempt IS NOT NULL").select("exempt").distinct().collect()} if rules.exemptions else set()
-    kept = out.where("exempt IS NULL").select("ord", "rule", "src", "dst", "kind", "line", "cycle", "message", "fix")
+    kept = out.where("exempt IS NULL").select("ord", "rule", "severity", "rationale", "src", "dst", "kind", "line", "cycle", "message", "fix")
     return CheckResult(kept, [e for i, e in enumerate(rules.exemptions) if i not in used], dead_patterns(rules, files))

@@ -133,3 +133,10 @@ def sources_of(ids: DataFrame, files: DataFrame) -> DataFrame:
     rows = ids.select("id").join(files, ids["id"] == files["path"], "left")
     parts = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("id", "text"))))
     return rows.agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("text"), F.count_if(F.col("text").isNull()).alias("missing"))
+
+
+def write_cones(table: DataFrame, folder: str, picked: DataFrame | None = None) -> None:
+    """``metrics.cone_table`` as CSV with a header, and picked rows as JSON lines, each a folder of part files."""
+    table.write.mode("overwrite").option("header", True).csv(f"{folder}/cones.csv")
+    if picked is not None:
+        picked.write.mode("overwrite").json(f"{folder}/candidates.json")

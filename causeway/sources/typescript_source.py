@@ -16,9 +16,13 @@ from pyspark.sql import DataFrame
 
 _LEX = re.compile(
     r"""(?P<skip>\s+|//[^\n]*|/\*[\s\S]*?(?:\*/|\Z))|(?P<string>"(?:\\[\s\S]|[^"\\\n])*"?|'(?:\\[\s\S]|[^'\\\n])*'?)
-    |(?P<template>`(?:\\[\s\S]|[^`\\])*`?)|(?P<name>[A-Za-z_$][\w$]*)|(?P<number>\d[\w.]*)|(?P<op>=>|\.\.\.|\?\.|[\s\S])""",
+    |(?P<tick>`)|(?P<name>[A-Za-z_$][\w$]*)|(?P<number>\d[\w.]*)|(?P<op>=>|\.\.\.|\?\.|[\s\S])""",
     re.X,
 )
+_REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[A-Za-z]*")
+_CHUNK = re.compile(r"(?:\\[\s\S]|\$(?!\{)|[^`\\$])*")
+#: Words behind which a slash begins a regular expression.
+_BEFORE_REGEX = frozenset("return typeof case in of do else instanceof new void delete yield await throw".split())
 _WORDS = frozenset("if for while switch catch return function new typeof await import super this else do case in of instanceof void delete yield throw class extends implements interface type enum const let var export default from as async static get set public private protected readonly abstract declare true false null undefined".split())
 
 MODULE_SCHEMA = "path string, specifier string, kind string, line int, skipped int"
@@ -26,15 +30,42 @@ FACT_SCHEMA = "path string, fact string, name string, owner string, target strin
 
 
 class Tokens:
+    """Tokens without comments. A template without substitutions is one token; in others the text between
+    them is of kind ``part`` and each substitution stands in brackets."""
+
     def __init__(self, text: str):
         self.kind, self.text, self.line = [], [], []
-        line = 1
-        for m in _LEX.finditer(text):
-            if m.lastgroup != "skip":
-                self.kind.append(m.lastgroup)
-                self.text.append(m[0])
-                self.line.append(line)
-            line += m[0].count("\n")
+        at, line, open_ = 0, 1, []  # open_: for each template that is being read, how many braces are open in its substitution
+
+        def put(kind: str, value: str) -> None:
+            self.kind.append(kind)
+            self.text.append(value)
+            self.line.append(line)
+
+        while at < len(text):
+            m = _LEX.match(text, at)
+            kind, value = m.lastgroup, m[0]
+            if value == "}" and open_ and not open_[-1]:
+                put("op", ")")
+                open_.pop()
+                kind, value = "chunk", "}"
+            elif value == "/" and self._regex_may_begin() and (r := _REGEX.match(text, at)):
+                kind, value = "regex", r[0]
+            if kind in ("tick", "chunk"):
+                inner = _CHUNK.match(text, at + 1)[0]
+                end = at + 1 + len(inner)
+                more = text.startswith("${", end)
+                value = text[at : end + (2 if more else 1)]
+                put("template" if kind == "tick" and not more else "part", value)
+                if more:
+                    put("op", "(")
+                    open_.append(0)
+            elif kind != "skip":
+                put(kind, value)
+                if open_ and kind == "op" and value in "{}":
+                    open_[-1] += 1 if value == "{" else -1
+            line += value.count("\n")
+            at += len(value)
         self.close = {}
         stack = []
         for i, t in enumerate(self.text):
@@ -43,6 +74,13 @@ class Tokens:
             elif self.kind[i] == "op" and t in ")]}" and stack:
                 self.close[stack.pop()] = i
 
+    def _regex_may_begin(self) -> bool:
+        """Whether a slash can't be a division: behind no value."""
+        if not self.text:
+            return True
+        kind, last = self.kind[-1], self.text[-1]
+        return last in _BEFORE_REGEX if kind == "name" else kind == "op" and last not in (")", "]")
+
     def __len__(self) -> int:
         return len(self.text)
 
@@ -50,8 +88,8 @@ class Tokens:
         return self.text[i] if 0 <= i < len(self.text) else ""
 
     def literal(self, i: int) -> str | None:
-        """A string, or a template without substitutions."""
-        if 0 <= i < len(self.text) and (self.kind[i] == "string" or self.kind[i] == "template" and "${" not in self.text[i]):
+        """The text of a string or of a template without substitutions."""
+        if 0 <= i < len(self.text) and (self.kind[i] == "string" or self.kind[i] == "template"):
             return self.text[i][1:-1]
         return None
 
@@ -100,12 +138,17 @@ def _clause(t: Tokens, i: int) -> tuple[list[tuple[str, str]], bool, int]:
     return names, only or (not bare and bool(types) and all(types)), i
 
 
+def in_markup(t: Tokens, i: int) -> bool:
+    """Whether a token stands behind a tag on its line: text of JSX, not a statement."""
+    return t.at(i - 1) == ">" and i > 0 and t.line[i - 1] == t.line[i]
+
+
 def module_imports(text: str) -> Iterator[tuple[str, str, int, int]]:
     """(specifier, kind, line, skipped); static forms at the top level only, dynamic ones anywhere."""
     t, found = Tokens(text), []
     for i in t.top_level():
         word, before = t.at(i), t.at(i - 1)
-        if word not in ("import", "export") or before == ".":
+        if word not in ("import", "export") or before == "." or in_markup(t, i):
             continue
         if word == "import" and t.at(i + 1) not in ("(", "."):
             if t.at(i + 2) == "=" and t.at(i + 3) == "require":
@@ -221,7 +264,7 @@ def facts(text: str) -> Iterator[tuple[str, str, str | None, str | None, int, in
         yield "function", name, None, None, t.line[a], a, b
     skip = {k for *_, k in declared}
     for i in t.top_level():
-        if t.at(i) == "import" and t.at(i + 1) not in ("(", ".") and t.at(i - 1) != ".":
+        if t.at(i) == "import" and t.at(i + 1) not in ("(", ".") and t.at(i - 1) != "." and not in_markup(t, i):
             names, _, k = _clause(t, i + 1)
             end = k + (t.at(k) == "from")
             for imported, local in names:
@@ -232,9 +275,6 @@ def facts(text: str) -> Iterator[tuple[str, str, str | None, str | None, int, in
             for local in {b for _, b in names} | {t.at(k + 2) for k in range(i, end) if t.at(k) == "*" and t.at(k + 1) == "as"}:
                 yield "binding", local, None, None, next((t.line[k] for k in range(i, end) if t.at(k) == local), t.line[i]), i, end
     for i in range(len(t)):
-        if t.kind[i] == "template":
-            for name in re.findall(r"[A-Za-z_$][\w$]*", " ".join(re.findall(r"\$\{([^}]*)\}", t.at(i)))):
-                yield "use", name, None, None, t.line[i], i, i
         if t.kind[i] != "name" or i in skip:
             continue
         name, before, after = t.at(i), t.at(i - 1), t.at(i + 1)
