@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions import paths
+from causeway.shared import cut
 
 
 def accumulate(raw: DataFrame) -> DataFrame:
@@ -76,12 +77,14 @@ def collapse(expanded: list[str], container: str) -> list[str]:
     return sorted(e for e in expanded if e != container and not e.startswith(container + "/"))
 
 
-def cycle_realness(shown: DataFrame, true_cycles: DataFrame, expanded: list[str]) -> DataFrame:
+def cycle_realness(shown: DataFrame, true_cycles: DataFrame, expanded: list[str] | Column) -> DataFrame:
     """(scc, real): a shown component is real if some true cycle projects to two or more nodes, all of them in it.
 
-    ``shown`` has (scc, id), ``true_cycles`` (cycle, id).
+    ``shown`` has (scc, id), ``true_cycles`` (cycle, id). ``expanded`` lists containers or
+    is a column that gives an id's display node.
     """
-    projected = true_cycles.select("cycle", paths.display_node("id", expanded).alias("id")).distinct()
+    display = expanded if isinstance(expanded, Column) else paths.display_node("id", expanded)
+    projected = true_cycles.select("cycle", display.alias("id")).distinct()
     sizes = projected.groupBy("cycle").agg(F.count("*").alias("n")).where("n > 1")
     inside = projected.join(shown, "id").groupBy("cycle", "scc").agg(F.count("*").alias("k"))
     real = inside.join(sizes, "cycle").where("k = n").select("scc").distinct().withColumn("real", F.lit(True))
@@ -123,9 +126,42 @@ def query_node(nodes: DataFrame, edges: DataFrame, node) -> DataFrame:
     return nodes.where(F.col("id") == node).join(near, "id", "left").withColumn("imports", F.coalesce("imports", none)).withColumn("imported_by", F.coalesce("imported_by", none))
 
 
+def positions(rows: DataFrame, key: str) -> DataFrame:
+    """(key, i): 0-based positions in ascending order of a unique key.
+
+    Rows are dealt to ranges and numbered there; the ranges' counts (a row each) give
+    each one its first number, so no task sees all rows.
+    """
+    placed = cut(rows.select(key).repartitionByRange(F.col(key)).sortWithinPartitions(key).select(key, F.spark_partition_id().alias("range")))
+    counts = placed.groupBy("range").agg(F.count("*").alias("n"))
+    before = counts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy(key)) - 1
+    return placed.withColumn("i", inside).join(F.broadcast(before), "range").select(key, (F.col("before") + F.col("i")).alias("i"))
+
+
+def highlighted(edges: DataFrame, node) -> DataFrame:
+    """(id): a node and all that it shares an edge with."""
+    near = edges.where((F.col("src") == node) | (F.col("dst") == node))
+    return near.select(F.explode(F.array("src", "dst")).alias("id")).union(edges.sparkSession.range(1).select(F.lit(node).alias("id"))).distinct()
+
+
+def view_hubs(nodes: DataFrame, edges: DataFrame, k: int = 8) -> DataFrame:
+    """The first ``k`` nodes by fan-in, those without any left out afterwards."""
+    return fan_counts(nodes, edges).orderBy(F.desc("fan_in"), "id").limit(k).where("fan_in > 0")
+
+
+def legend(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...], lanes: tuple[str, ...] = ("frontend", "shared", "backend", "tooling")) -> DataFrame:
+    """(what, name, n) of the edge kinds and lanes that occur, in their fixed order; a node without a known side is in ``shared``."""
+    order = lambda names, c: F.array_position(F.array(*[F.lit(x) for x in names]), F.col(c))
+    shown = edges.groupBy(F.col("kind").alias("name")).agg(F.count("*").alias("n")).select(F.lit("kind").alias("what"), "name", "n", order(kinds, "name").alias("ord"))
+    side = F.when(F.col("side").isin(*lanes), F.col("side")).otherwise("shared")
+    used = nodes.groupBy(side.alias("name")).agg(F.count("*").alias("n")).select(F.lit("lane").alias("what"), "name", "n", order(lanes, "name").alias("ord"))
+    return shown.where("ord > 0").union(used).orderBy("what", "ord").select("what", "name", "n")
+
+
 def dictionary_encode(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """(f, t, k, w): ends as 0-based positions in id order, kinds as positions in ``kinds``."""
-    index = nodes.select("id", (F.row_number().over(Window.orderBy("id")) - 1).alias("i"))
+    index = positions(nodes, "id")
     code = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("kind")) - 1
     ends = edges.join(index.select(F.col("id").alias("src"), F.col("i").alias("f")), "src").join(index.select(F.col("id").alias("dst"), F.col("i").alias("t")), "dst")
     return ends.select("f", "t", code.cast("int").alias("k"), F.col("weight").alias("w"))

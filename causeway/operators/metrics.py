@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from causeway.functions import paths
 from causeway.operators import recurse
+from causeway.shared import cut
 
 
-def cone_sizes(nodes: DataFrame, closed: DataFrame) -> DataFrame:
-    """(id, forward, reverse): how many nodes each reaches and is reached by; ``closed`` from :func:`recurse.closure`."""
-    ends = closed.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("f"), F.lit(0).alias("r")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("f"), F.lit(1).alias("r")))).alias("e")).select("e.*")
-    n = ends.groupBy("id").agg(F.sum("f").alias("forward"), F.sum("r").alias("reverse"))
-    return nodes.select("id").join(n, "id", "left").select("id", F.coalesce("forward", F.lit(0)).alias("forward"), F.coalesce("reverse", F.lit(0)).alias("reverse"))
+def cone_sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, forward, reverse): how many nodes each reaches and is reached by; no pairs are made of islands that fit a task."""
+    n = recurse.reach_counts(edges)
+    return nodes.select("id").join(n, "id", "left").select("id", F.coalesce("forward", F.lit(0)).cast("long").alias("forward"), F.coalesce("reverse", F.lit(0)).cast("long").alias("reverse"))
 
 
 def upper_median(column: str, rows: DataFrame) -> DataFrame:
@@ -47,11 +47,11 @@ def economics(nodes: DataFrame, closed: DataFrame, contract_tokens: str = "contr
     return all_.agg(*[F.round(F.avg(F.coalesce(c, F.lit(0))), 4).alias(c) for c in ("source", "ids", "contracts")])
 
 
-def structure(nodes: DataFrame, edges: DataFrame, closed: DataFrame) -> DataFrame:
+def structure(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: files, edges, file cycles and forward cone statistics."""
     counts = nodes.agg(F.count("*").alias("files")).crossJoin(F.broadcast(edges.agg(F.count("*").alias("edges"))))
     loops = recurse.cycles(edges).agg(F.count("*").alias("cycles"))
-    return counts.crossJoin(F.broadcast(loops)).crossJoin(F.broadcast(cone_stats(cone_sizes(nodes, closed))))
+    return counts.crossJoin(F.broadcast(loops)).crossJoin(F.broadcast(cone_stats(cone_sizes(nodes, edges))))
 
 
 def delta(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -61,9 +61,18 @@ def delta(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select(*[F.round(F.col(c) - F.col(f"b_{c}"), 2).alias(f"d_{c}") for c in names], (F.col("cycles") > F.col("b_cycles")).alias("introduced_cycle"))
 
 
-def average_rank(column: str, *by: str) -> Column:
-    """Rank with ties sharing their mean."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(column)) + (F.count("*").over(Window.partitionBy(*by, column)) - 1) / 2.0
+def average_ranks(rows: DataFrame, column: str, by: str, to: str) -> DataFrame:
+    """``rows`` and their rank within ``by``, ties sharing their mean.
+
+    Ranks are those of distinct values: counted per value before anything is moved,
+    numbered range by range (``edges.positions``' way), and joined back by value.
+    """
+    counts = cut(rows.groupBy(by, column).agg(F.count("*").alias("c")).repartitionByRange(by, column).sortWithinPartitions(by, column).withColumn("range", F.spark_partition_id()))
+    per = counts.groupBy(by, "range").agg(F.sum("c").alias("n"))
+    before = per.select(F.col(by).alias("before_by"), F.col("range").alias("before_range"), (F.sum("n").over(Window.partitionBy(by).orderBy("range")) - F.col("n")).alias("before"))
+    inside = F.sum("c").over(Window.partitionBy(by, "range").orderBy(column)) - F.col("c")
+    ranks = counts.withColumn("below", inside).join(before, F.col(by).eqNullSafe(F.col("before_by")) & (F.col("range") == F.col("before_range"))).select(F.col(by).alias("rank_by"), F.col(column).alias("rank_of"), (F.col("before") + F.col("below") + 1 + (F.col("c") - 1) / 2.0).alias(to))
+    return rows.join(ranks, F.col(by).eqNullSafe(F.col("rank_by")) & (F.col(column) == F.col("rank_of"))).drop("rank_by", "rank_of")
 
 
 def pearson(x: str, y: str) -> Column:
@@ -73,7 +82,8 @@ def pearson(x: str, y: str) -> Column:
 
 def correlations(rows: DataFrame, x: str, y: str, by: str) -> DataFrame:
     """(by, n, pearson, r2, spearman, slope, intercept); null where a side doesn't vary."""
-    ranked = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("rx", average_rank(x, by)).withColumn("ry", average_rank(y, by))
+    ranked = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    ranked = average_ranks(average_ranks(ranked, x, by, "rx"), y, by, "ry")
     out = ranked.groupBy(by).agg(F.count("*").alias("n"), pearson(x, y).alias("pearson"), pearson("rx", "ry").alias("spearman"), F.regr_slope(F.col(y).cast("double"), F.col(x).cast("double")).alias("slope"), F.regr_intercept(F.col(y).cast("double"), F.col(x).cast("double")).alias("intercept"))
     return out.withColumn("r2", F.col("pearson") * F.col("pearson"))
 
@@ -92,6 +102,21 @@ def stratified_pick(rows: DataFrame, order: str, key: str, n: int) -> DataFrame:
     return placed.join(F.broadcast(wanted), "place").select(*rows.columns, "place")
 
 
+def cone_table(nodes: DataFrame, sizes: DataFrame, costs: DataFrame) -> DataFrame:
+    """(file, loc, bytes, forwardCone, reverseCone, coneLoc, coneBytes, estTokens), cheapest first: what ``trees.write_cones`` writes."""
+    rows = nodes.select("id", "loc", "bytes").join(sizes, "id").join(costs, "id")
+    names = {"id": "file", "loc": "loc", "bytes": "bytes", "forward": "forwardCone", "reverse": "reverseCone", "cone_loc": "coneLoc", "cone_bytes": "coneBytes", "est_tokens": "estTokens"}
+    return rows.select(*[F.col(a).alias(b) for a, b in names.items()]).orderBy("estTokens", "file")
+
+
+def savings(pivoted: DataFrame, conditions: tuple[str, str] = ("without", "with")) -> DataFrame:
+    """(task, percent, saved) of complete tasks and of their sum (task null): the second condition in percent of the first, and how much less it is."""
+    a, b = conditions
+    rows = pivoted.where("complete").select("task", a, b)
+    every = rows.unionByName(rows.agg(F.sum(a).alias(a), F.sum(b).alias(b)).select(F.lit(None).cast(rows.schema["task"].dataType).alias("task"), a, b))
+    return every.select("task", paths.percent(b, a).alias("percent"), paths.saving(b, a).alias("saved"))
+
+
 def costliest(rows: DataFrame, k: int = 5) -> DataFrame:
     return rows.orderBy(F.desc("est_tokens"), "id").limit(k)
 

@@ -10,7 +10,7 @@ the shared folder. Which way an island goes changes nothing in the result.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import count
+from itertools import count, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -20,6 +20,10 @@ from causeway.operators.components import connected_components
 from causeway.shared import cut
 
 LOCAL_EDGES = 2_000_000
+#: Bit sets of all nodes' cones take a bit per pair of nodes, so islands of pairs are smaller.
+CLOSURE_EDGES = 20_000
+#: Rows that a task hands on at once.
+ROWS = 50_000
 
 
 def pairs(edges: DataFrame) -> DataFrame:
@@ -151,23 +155,34 @@ class Local:
                     ready.append(u)
         return depth
 
-    def closure(self) -> Iterator[tuple[int, int]]:
-        """(a, b) for every b that a reaches, a itself left out; bit sets of strong components, deepest first."""
+    def cones(self, ahead: list[list[int]], up: bool = True) -> tuple[list[int], dict[int, int]]:
+        """(strong component of every node, bit set of what each component reaches along ``ahead``, itself included); ``up`` if ``ahead`` leads to lesser depths."""
         label = self.strong()
         members: dict[int, int] = {}
         for v, c in enumerate(label):
             members[c] = members.get(c, 0) | 1 << v
-        below: dict[int, int] = {}
+        found: dict[int, int] = {}
         depth = self.depths(label)
-        ahead: dict[int, set] = {c: set() for c in members}
-        for v, ws in enumerate(self.out):
-            ahead[label[v]].update(label[w] for w in ws)
-        for c in sorted(members, key=depth.__getitem__):
+        near: dict[int, set] = {c: set() for c in members}
+        for v, ws in enumerate(ahead):
+            near[label[v]].update(label[w] for w in ws)
+        for c in sorted(members, key=depth.__getitem__, reverse=not up):
             bits = members[c]
-            for d in ahead[c]:
+            for d in near[c]:
                 if d != c:
-                    bits |= below[d]
-            below[c] = bits
+                    bits |= found[d]
+            found[c] = bits
+        return label, found
+
+    def counts(self) -> Iterator[tuple[int, int, int]]:
+        """(node, nodes that it reaches, nodes that reach it), itself left out."""
+        forward, reverse = ({c: x.bit_count() - 1 for c, x in self.cones(*way)[1].items()} for way in ((self.out,), (self.into, False)))
+        for v, c in enumerate(self.strong()):
+            yield v, forward[c], reverse[c]
+
+    def closure(self) -> Iterator[tuple[int, int]]:
+        """(a, b) for every b that a reaches, a itself left out."""
+        label, below = self.cones(self.out)
         for v, c in enumerate(label):
             bits = below[c] & ~(1 << v)
             while bits:
@@ -182,10 +197,11 @@ def islands(edges: DataFrame) -> DataFrame:
     return edges.join(found, "src", "left").withColumn("island", F.coalesce("island", "src"))
 
 
-def _split(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(edges of islands that fit a task, the others or None)."""
+def _split(edges: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(edges of islands of at most so many, which fit a task; the others or None)."""
     parts = cut(islands(edges))
-    big = cut(parts.groupBy("island").agg(F.count("*").alias("n")).where(F.col("n") > LOCAL_EDGES).select("island"))
+    most = LOCAL_EDGES if most is None else most
+    big = cut(parts.groupBy("island").agg(F.count("*").alias("n")).where(F.col("n") > most).select("island"))
     if big.isEmpty():
         return parts, None
     return parts.join(big, "island", "left_anti"), parts.join(big, "island", "left_semi")
@@ -197,9 +213,10 @@ def _solve(small: DataFrame, solve: Callable[[Local], Iterator[tuple]], types: l
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         island, src, dst = None, [], []
 
-        def done() -> pa.RecordBatch:
-            rows = list(solve(Local(src, dst)))
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], arrow[t]) for i, t in enumerate(types)], names)
+        def done() -> Iterator[pa.RecordBatch]:
+            found = iter(solve(Local(src, dst)))
+            while rows := list(islice(found, ROWS)):
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], arrow[t]) for i, t in enumerate(types)], names)
 
         id_type = None
         for batch in it:
@@ -207,25 +224,35 @@ def _solve(small: DataFrame, solve: Callable[[Local], Iterator[tuple]], types: l
             arrow = {"id": id_type, "int": pa.int32()}
             for k, s, d in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("island", "src", "dst"))):
                 if k != island and src:
-                    yield done()
+                    yield from done()
                     src, dst = [], []
                 island = k
                 src.append(s)
                 dst.append(d)
         if src:
-            yield done()
+            yield from done()
 
     schema = ", ".join(f"{n} {kind.simpleString() if t == 'id' else t}" for n, t in zip(names, types))
     return small.select("island", "src", "dst").distinct().repartition("island").sortWithinPartitions("island").mapInArrow(run, schema)
 
 
-def closure(edges: DataFrame) -> DataFrame:
+def closure(edges: DataFrame, local_edges: int | None = None) -> DataFrame:
     """(src, dst): all pairs with a path, a start paired with itself left out."""
-    small, big = _split(pairs(edges))
+    small, big = _split(pairs(edges), min(CLOSURE_EDGES, LOCAL_EDGES) if local_edges is None else local_edges)
     out = _solve(small, lambda g: ((g.ids[a], g.ids[b]) for a, b in g.closure()), ["id", "id"], ["src", "dst"])
     return out if big is None else out.union(_doubling(big))
 
 
+def reach_counts(edges: DataFrame, local_edges: int | None = None) -> DataFrame:
+    """(id, forward, reverse) of every node of an edge to another: how many nodes it reaches and is reached by."""
+    small, big = _split(pairs(edges), min(CLOSURE_EDGES, LOCAL_EDGES) if local_edges is None else local_edges)
+    out = _solve(small, lambda g: ((g.ids[v], f, r) for v, f, r in g.counts()), ["id", "int", "int"], ["id", "forward", "reverse"])
+    if big is None:
+        return out
+    ends = _doubling(big).select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("f"), F.lit(0).alias("r")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("f"), F.lit(1).alias("r")))).alias("e")).select("e.*")
+    return out.unionByName(ends.groupBy("id").agg(F.sum("f").cast("int").alias("forward"), F.sum("r").cast("int").alias("reverse")))
+
+
 def _doubling(edges: DataFrame) -> DataFrame:
     """Paths of up to 2**k steps after k rounds."""
     paths, before = cut(pairs(edges)), -1
@@ -236,9 +263,9 @@ def _doubling(edges: DataFrame) -> DataFrame:
     return paths
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def strong_components(edges: DataFrame, local_edges: int | None = None) -> DataFrame:
     """(id, scc): every node of an edge, and the least id of its strong component."""
-    small, big = _split(edges.select("src", "dst").distinct())
+    small, big = _split(edges.select("src", "dst").distinct(), local_edges)
     out = _solve(small, lambda g: ((g.ids[v], g.ids[c]) for v, c in enumerate(g.strong())), ["id", "id"], ["id", "scc"])
     return out if big is None else out.union(_colouring(big))
 
@@ -277,9 +304,9 @@ def cycles(edges: DataFrame) -> DataFrame:
     return kept.select((F.row_number().over(order) - 1).cast("int").alias("id"), "nodes")
 
 
-def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def layers(nodes: DataFrame, edges: DataFrame, local_edges: int | None = None) -> DataFrame:
     """(id, layer): 0 depends on nothing, a strong component shares a layer, each is one above its highest need."""
-    small, big = _split(edges.select("src", "dst").distinct())
+    small, big = _split(edges.select("src", "dst").distinct(), local_edges)
 
     def solve(g: Local) -> Iterator[tuple]:
         label = g.strong()

@@ -14,7 +14,11 @@ from causeway.operators import edges as E
 from causeway.operators import metrics as M
 from causeway.operators import recurse as R
 from causeway.operators import rules as C
+from causeway.plans import build
 from causeway.plans import derived as D
+from causeway.plans import samples as S
+from causeway.shared import cut
+from causeway.sources import python_source, trees, typescript_source
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -118,9 +122,11 @@ def query_node(spark, sf):
     return row.select(F.col("id").cast("int").alias("id"), F.nullif(joined("imports"), F.lit("")).alias("imports"), F.nullif(joined("imported_by"), F.lit("")).alias("imported_by"))
 
 
-@query(f"WITH {BASE} SELECT id, string_agg(CAST(n AS VARCHAR), '|' ORDER BY n) AS imports FROM (SELECT DISTINCT src AS id, dst AS n FROM edges) AS d GROUP BY id")
+@query(f"""WITH {BASE}, o AS (SELECT id, string_agg(CAST(n AS VARCHAR), '|' ORDER BY n) AS imports FROM (SELECT DISTINCT src AS id, dst AS n FROM edges) AS d GROUP BY id),
+b AS (SELECT id, string_agg(CAST(n AS VARCHAR), '|' ORDER BY n) AS imported_by FROM (SELECT DISTINCT dst AS id, src AS n FROM edges) AS d GROUP BY id)
+SELECT COALESCE(o.id, b.id) AS id, COALESCE(imports, '') AS imports, COALESCE(imported_by, '') AS imported_by FROM o FULL JOIN b ON o.id = b.id""")
 def neighbours(spark, sf):
-    return E.neighbours(D.edges(spark, sf)).where("size(imports) > 0").select("id", joined("imports").alias("imports"))
+    return E.neighbours(D.edges(spark, sf)).select("id", joined("imports").alias("imports"), joined("imported_by").alias("imported_by"))
 
 
 @query(f"WITH RECURSIVE {REACH} SELECT src AS id FROM reach WHERE dst = {START} AND src <> {START}")
@@ -140,15 +146,13 @@ def cone_with_start(spark, sf):
 
 @query(f"WITH RECURSIVE {REACH}, goal AS (SELECT unnest([{START}, 3, 79, 12, 41]) AS b) SELECT b AS target, b = {START} OR EXISTS (SELECT 1 FROM reach WHERE src = {START} AND dst = b) AS reached FROM goal")
 def reaches(spark, sf):
-    e = D.edges(spark, sf)
-    seen = R.cone(e, F.lit(START).cast("long"), include_start=True).withColumn("reached", F.lit(True))
-    targets = spark.createDataFrame([(b,) for b in (START, 3, 79, 12, 41)], "target int")
-    return targets.join(seen, targets["target"] == seen["id"], "left").select("target", F.coalesce("reached", F.lit(False)).alias("reached"))
+    e = cut(D.edges(spark, sf))
+    return spark.createDataFrame([(b, R.reaches(e, START, b)) for b in (START, 3, 79, 12, 41)], "target int, reached boolean")
 
 
-@query(f"WITH RECURSIVE {REACH} SELECT dst AS id, p_brand AS summary, p_type AS should, CAST(p_size AS INTEGER) AS side FROM reach JOIN part ON p_partkey = dst WHERE src = {START} AND dst <> {START}")
+@query(f"""WITH RECURSIVE {REACH} SELECT dst AS id, p_brand AS summary, p_type AS should, p_name AS "shouldNot", CAST(p_size AS VARCHAR) AS side, p_size % 2 = 0 AS pure FROM reach JOIN part ON p_partkey = dst WHERE src = {START} AND dst <> {START}""")
 def conedoc(spark, sf):
-    docs = D.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("summary"), F.col("p_type").alias("should"), F.col("p_size").alias("side"))
+    docs = D.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("summary"), F.col("p_type").alias("should"), F.col("p_name").alias("shouldNot"), F.col("p_size").cast("string").alias("side"), (F.col("p_size") % 2 == 0).alias("pure"))
     return R.cone(D.edges(spark, sf), F.lit(START).cast("long")).join(docs, "id", "left")
 
 
@@ -207,12 +211,12 @@ sizes AS (SELECT p_partkey AS id, (SELECT count(*) FROM reach WHERE src = p_part
 
 @query(f"WITH RECURSIVE {_SIZES} SELECT id, CAST(forward AS BIGINT) AS forward, CAST(reverse AS BIGINT) AS reverse FROM sizes")
 def cone_sizes(spark, sf):
-    return M.cone_sizes(D.nodes(spark, sf), R.closure(D.edges(spark, sf)))
+    return M.cone_sizes(D.nodes(spark, sf), D.edges(spark, sf))
 
 
 @query(f"WITH RECURSIVE {_SIZES} SELECT round(avg(forward), 2) AS mean, CAST((SELECT forward FROM sizes ORDER BY forward OFFSET (SELECT count(*) // 2 FROM sizes) LIMIT 1) AS BIGINT) AS median, CAST(max(forward) AS BIGINT) AS max FROM sizes")
 def cone_stats(spark, sf):
-    return M.cone_stats(M.cone_sizes(D.nodes(spark, sf), R.closure(D.edges(spark, sf))))
+    return M.cone_stats(M.cone_sizes(D.nodes(spark, sf), D.edges(spark, sf)))
 
 
 _COST = REACH + """,
@@ -260,7 +264,7 @@ def _structure_sql(p: str) -> str:
 SELECT CAST(c.files - b.files AS BIGINT) AS d_files, CAST(c.edges - b.edges AS BIGINT) AS d_edges, CAST(c.cycles - b.cycles AS BIGINT) AS d_cycles, round(c.mean - b.mean, 2) AS d_mean, CAST(c.median - b.median AS BIGINT) AS d_median, CAST(c.max - b.max AS BIGINT) AS d_max, c.cycles > b.cycles AS introduced_cycle FROM bst AS b, cst AS c""")
 def structural_delta(spark, sf):
     nodes = D.nodes(spark, sf)
-    before, after = (M.structure(nodes, e, R.closure(e)) for e in (D.edges(spark, sf, CUT), D.edges(spark, sf)))
+    before, after = (M.structure(nodes, e) for e in (D.edges(spark, sf, CUT), D.edges(spark, sf)))
     return M.delta(before, after)
 
 
@@ -291,20 +295,21 @@ def _layer(column: str) -> str:
 
 
 _EVEN = RULES.rules[1]
+_LAYER_NAMES = str([x.name for x in RULES.layers])
 _FORBIDDEN = f"SELECT 'even-odd' AS rule, src, dst, kind, line FROM e WHERE {_any('src', _EVEN.src)} AND {_any('dst', _EVEN.dst)}"
 
 
-@query(f"WITH {_NAMED} SELECT 'order' AS rule, src, dst, kind, line FROM (SELECT *, {_layer('src')} AS a, {_layer('dst')} AS b FROM e WHERE kind <> 'type') AS z WHERE a >= 0 AND b > a")
+@query(f"""WITH {_NAMED} SELECT 'order' AS rule, src, dst, kind, line, 'layer "' || {_LAYER_NAMES}[a + 1] || '" may not depend on layer "' || {_LAYER_NAMES}[b + 1] || '": ' || src || ' -> ' || dst AS message FROM (SELECT *, {_layer('src')} AS a, {_layer('dst')} AS b FROM e WHERE kind <> 'type') AS z WHERE a >= 0 AND b > a""")
 def check_layer_order(spark, sf):
-    return C.edge_violations(RULES.rules[0], D.named(D.edges(spark, sf)), RULES.layers).select("rule", "src", "dst", "kind", "line")
+    return C.edge_violations(RULES.rules[0], D.named(D.edges(spark, sf)), RULES.layers).select("rule", "src", "dst", "kind", "line", "message")
 
 
-@query(f"WITH {_NAMED} {_FORBIDDEN}")
+@query(f"WITH {_NAMED} SELECT *, 'forbidden edge: ' || src || ' -> ' || dst AS message, '{_EVEN.fix}' AS fix FROM ({_FORBIDDEN}) AS v")
 def check_forbidden(spark, sf):
-    return C.edge_violations(_EVEN, D.named(D.edges(spark, sf))).select("rule", "src", "dst", "kind", "line")
+    return C.edge_violations(_EVEN, D.named(D.edges(spark, sf))).select("rule", "src", "dst", "kind", "line", "message", "fix")
 
 
-@query(f"WITH RECURSIVE {_FOLDER} SELECT 'cycles' AS rule, 'cycle: ' || string_agg({_FNAME}, ' <-> ' ORDER BY id) AS message FROM fs GROUP BY scc HAVING count(*) > 1")
+@query(f"WITH RECURSIVE {_FOLDER} SELECT 'cycles' AS rule, 'folder cycle: ' || string_agg({_FNAME}, ' <-> ' ORDER BY id) AS message FROM fs GROUP BY scc HAVING count(*) > 1")
 def check_no_cycles(spark, sf):
     return C.cycle_violations(RULES.rules[2], R.cycles(E.folder_edges(D.named(D.edges(spark, sf))))).select("rule", "message")
 
@@ -380,10 +385,9 @@ shown AS (SELECT 'pkg' || lpad(CAST(scc // 8 AS VARCHAR), 4, '0') || '/mod' || l
 @query(f"""WITH RECURSIVE {_TRUE} SELECT s.scc, EXISTS (SELECT 1 FROM proj AS p GROUP BY p.cycle HAVING count(*) > 1 AND bool_and(EXISTS (SELECT 1 FROM shown AS t WHERE t.scc = s.scc AND t.f = p.f))) AS real FROM (SELECT DISTINCT scc FROM shown) AS s""")
 def cycle_realness(spark, sf):
     e = D.edges(spark, sf)
-    packages = [f"pkg{i:04d}" for i in range(0, 1 + (D.read(spark, sf, "part").agg(F.max("p_partkey")).first()[0] or 0) // 80)]
     true_cycles = R.cycles(e).select(F.col("id").alias("cycle"), F.explode("nodes").alias("id")).select("cycle", D.name("id").alias("id"))
     shown = R.cycles(E.folder_edges(D.named(e))).select(F.col("nodes")[0].alias("scc"), F.explode("nodes").alias("id"))
-    return E.cycle_realness(shown, true_cycles, [".", *packages])
+    return E.cycle_realness(shown, true_cycles, F.get(paths.containers("id"), F.lit(1)))
 
 
 @query(f"WITH RECURSIVE {CYCLES} SELECT e.src, e.dst, e.kind, e.weight FROM edges AS e JOIN scc AS a ON a.id = e.src JOIN scc AS b ON b.id = e.dst WHERE a.scc = b.scc AND e.src <> e.dst")
@@ -458,10 +462,126 @@ def page_links(spark, sf):
     return D.read(spark, sf, "pages").select("page_id", found.alias("l")).where("size(l) > 0").select("page_id", F.size("l").cast("long").alias("links"), F.array_join("l", "|").alias("targets"))
 
 
-@query(f"WITH RECURSIVE {_FOLDER}, c AS (SELECT scc FROM fs GROUP BY scc HAVING count(*) > 1), fk AS (SELECT DISTINCT src // 10, dst // 10, kind = 'type' FROM edges WHERE src // 10 <> dst // 10) SELECT 'folder' AS level, (SELECT count(*) FROM fn) AS nodes, (SELECT count(*) FROM fk) AS edges, (SELECT count(*) FROM c) AS cycles")
+_CALLS = _FN_SQL.removeprefix(BASE) + """,
+fne AS (SELECT DISTINCT src, dst FROM calls),
+fnr(src, dst) AS (SELECT src, dst FROM fne WHERE src <> dst UNION SELECT r.src, p.dst FROM fnr AS r JOIN fne AS p ON r.dst = p.src),
+fnc AS (SELECT min(a.dst) AS scc FROM fnr AS a JOIN fnr AS b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src UNION SELECT src FROM fne WHERE src = dst AND src NOT IN (SELECT a.src FROM fnr AS a JOIN fnr AS b ON a.src = b.dst AND a.dst = b.src))"""
+
+
+@query(f"""WITH RECURSIVE {CYCLES}, {_FOLDER.removeprefix(BASE + ",")}, c AS (SELECT scc FROM fs GROUP BY scc HAVING count(*) > 1), fk AS (SELECT DISTINCT src // 10, dst // 10, kind = 'type' FROM edges WHERE src // 10 <> dst // 10){_CALLS}
+SELECT 'folder' AS level, (SELECT count(*) FROM fn) AS nodes, (SELECT count(*) FROM fk) AS edges, (SELECT count(*) FROM c) AS cycles
+UNION ALL SELECT 'file', (SELECT count(*) FROM part), (SELECT count(*) FROM edges), (SELECT count(*) FROM cyc)
+UNION ALL SELECT 'function', (SELECT count(*) FROM (SELECT src FROM calls UNION SELECT dst FROM calls) AS z), (SELECT count(*) FROM fne), (SELECT count(DISTINCT scc) FROM fnc)""")
 def level_summary(spark, sf):
-    e = E.folder_edges(D.named(D.edges(spark, sf)))
-    return M.level_summary({"folder": (E.folder_nodes(D.named(D.nodes(spark, sf))), e, R.cycles(e))})
+    nodes, edges = D.named(D.nodes(spark, sf)), D.named(D.edges(spark, sf))
+    folders, (fn_nodes, fn_edges) = E.folder_edges(edges), _functions(spark, sf)
+    return M.level_summary({"folder": (E.folder_nodes(nodes), folders, R.cycles(folders)), "file": (nodes, edges, R.cycles(edges)), "function": (fn_nodes, fn_edges, R.cycles(fn_edges))})
+
+
+def values(rows: list[tuple], schema: str) -> str:
+    """SQL for literal rows."""
+    literal = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x).upper() if isinstance(x, bool) else str(x)
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = {"string": "VARCHAR", "int": "INTEGER", "long": "BIGINT", "boolean": "BOOLEAN"}
+    columns = ", ".join(f"CAST({n} AS {kinds[c.split()[1]]}) AS {n}" for n, c in zip(names, schema.split(", ")))
+    return f"SELECT {columns} FROM (VALUES " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows) + f") AS v({', '.join(names)})"
+
+
+def _sources(spark, files: dict[str, str]):
+    return spark.createDataFrame(list(files.items()), "path string, text string")
+
+
+_EDGE = "src string, dst string, kind string, weight long, line int"
+
+
+@query(values(S.PYTHON_IMPORTS, "path string, is_from boolean, module string, names string, level int, kind string, line int, skipped int"))
+def python_imports(spark, sf):
+    return python_source.extract(trees.python_files(_sources(spark, S.PYTHON))).withColumn("names", F.array_join("names", "|"))
+
+
+@query(values(sorted({(p, n) for p, _, _, names, *_ in S.PYTHON_IMPORTS for n in names.split("|") if n}), "path string, name string"))
+def import_names(spark, sf):
+    return python_source.extract(_sources(spark, S.PYTHON)).select("path", F.explode("names").alias("name")).distinct()
+
+
+@query(values(S.PYTHON_EDGES, _EDGE))
+def python_edges(spark, sf):
+    return build.python_project(_sources(spark, S.PYTHON)).files.edges.select("src", "dst", "kind", "weight", "line")
+
+
+@query(values(S.TYPESCRIPT_IMPORTS, "path string, specifier string, kind string, line int, skipped int"))
+def ts_imports(spark, sf):
+    return typescript_source.extract_imports(trees.typescript_files(_sources(spark, S.TYPESCRIPT)))
+
+
+@query(values(S.TYPESCRIPT_EDGES, _EDGE))
+def ts_edges(spark, sf):
+    return build.typescript_project(_sources(spark, S.TYPESCRIPT), aliases=S.TYPESCRIPT_ALIASES).files.edges.select("src", "dst", "kind", "weight", "line")
+
+
+@query(f"WITH {BASE}, fk AS (SELECT src // 10 AS s, dst // 10 AS d, bool_and(kind = 'type') AS by_type FROM edges WHERE src // 10 <> dst // 10 GROUP BY 1, 2) SELECT {_FNAME.replace('id', 's')} AS src, {_FNAME.replace('id', 'd')} AS dst FROM fk WHERE by_type")
+def folder_type_only(spark, sf):
+    return E.type_only_pairs(E.folder_edges(D.named(D.edges(spark, sf))))
+
+
+@query(f"WITH {_NAMED} SELECT id, CASE WHEN id LIKE 'pkg0000%' THEN 'first' WHEN id LIKE 'pkg0001/mod00009%' OR id LIKE 'pkg0001/mod0001%' THEN 'second' WHEN split_part(id, '/', 1) = 'pkg0002' THEN 'tooling' ELSE 'other' END AS area FROM files")
+def node_areas(spark, sf):
+    return D.named(D.nodes(spark, sf)).select("id", paths.area_of("id", (("first", ("pkg0000",)), ("second", ("pkg0001/mod00009", "pkg0001/mod0001"))), ("pkg0002",)).alias("area"))
+
+
+@query(f"WITH {FAN} SELECT id, round(least(16.0, 3.5 + 2.2 * sqrt(greatest(fan_in + fan_out, 1))), 6) AS radius FROM fan")
+def node_radius(spark, sf):
+    fans = E.fan_counts(D.nodes(spark, sf), D.edges(spark, sf))
+    return fans.select("id", F.round(paths.radius(F.lit("file"), F.lit(1), F.col("fan_in") + F.col("fan_out")), 6).alias("radius"))
+
+
+@query(f"WITH {FAN} SELECT id, CAST(fan_in AS BIGINT) AS fan_in, CAST(fan_out AS BIGINT) AS fan_out FROM (SELECT * FROM fan ORDER BY fan_in DESC, id LIMIT 8) AS h WHERE fan_in > 0")
+def viz_hubs(spark, sf):
+    return E.view_hubs(D.nodes(spark, sf), D.edges(spark, sf))
+
+
+@query(f"WITH {BASE} SELECT DISTINCT CASE WHEN src = {START} THEN dst ELSE src END AS id FROM edges WHERE src = {START} OR dst = {START} UNION SELECT CAST({START} AS BIGINT)")
+def highlight(spark, sf):
+    return E.highlighted(D.edges(spark, sf), F.lit(START).cast("long"))
+
+
+@query(f"""WITH {BASE}, k AS (SELECT 'kind' AS what, kind AS name, count(*) AS n FROM edges GROUP BY kind), l AS (SELECT 'lane' AS what, CASE p_size % 6 WHEN 0 THEN 'frontend' WHEN 1 THEN 'backend' WHEN 3 THEN 'tooling' ELSE 'shared' END AS name, count(*) AS n FROM part GROUP BY 2)
+SELECT what, name, CAST(n AS BIGINT) AS n FROM (SELECT * FROM k UNION ALL SELECT * FROM l) AS z""")
+def viz_legend(spark, sf):
+    side = F.get(F.array(*[F.lit(s) for s in _SIDES]), F.col("loc") % 6)
+    return E.legend(D.nodes(spark, sf).withColumn("side", side), D.edges(spark, sf), KINDS)
+
+
+@query(f"""WITH RECURSIVE {_SIZES}, {_COST.removeprefix(REACH + ",")}, c AS (SELECT {_COST_COLS} FROM cost)
+SELECT p_partkey AS file, CAST(p_size AS INTEGER) AS loc, CAST(strlen(p_name) AS BIGINT) AS bytes, CAST(forward AS BIGINT) AS "forwardCone", CAST(reverse AS BIGINT) AS "reverseCone", cone_loc AS "coneLoc", cone_bytes AS "coneBytes", est_tokens AS "estTokens" FROM part JOIN sizes ON sizes.id = p_partkey JOIN c ON c.id = p_partkey""")
+def cone_table(spark, sf):
+    nodes, e = D.nodes(spark, sf), cut(D.edges(spark, sf))
+    return M.cone_table(nodes, M.cone_sizes(nodes, e), M.cone_cost(nodes, R.closure(e)))
+
+
+@query(f"""WITH {_PIVOT}, q AS (SELECT task, a, b FROM p WHERE a IS NOT NULL AND b IS NOT NULL), t AS (SELECT * FROM q UNION ALL SELECT NULL, sum(a), sum(b) FROM q)
+SELECT task, round(100.0::DOUBLE * b / NULLIF(a, 0), 0) AS percent, round(100.0::DOUBLE * (a - b) / NULLIF(a, 0), 0) AS saved FROM t""")
+def benchmark_savings(spark, sf):
+    rows = M.savings(_pivoted(spark, sf))
+    return rows.select("task", F.col("percent").cast("double").alias("percent"), F.col("saved").cast("double").alias("saved"))
+
+
+@query(f"WITH RECURSIVE {SCC} SELECT id, scc FROM scc WHERE id IN (SELECT src FROM edges UNION SELECT dst FROM edges)")
+def scc_labels_rounds(spark, sf):
+    """As ``scc_labels``, islands of over 20 edges by rounds of joins."""
+    return R.strong_components(D.edges(spark, sf), local_edges=20)
+
+
+@query(f"WITH RECURSIVE {REACH} SELECT src, dst FROM reach WHERE src <> dst")
+def closure_pairs_rounds(spark, sf):
+    """As ``closure_pairs``, islands of over 20 edges by path doubling."""
+    return R.closure(D.edges(spark, sf), local_edges=20)
+
+
+@query(f"WITH RECURSIVE {_FLAYERS} SELECT {_FNAME} AS id, CAST(layer AS INTEGER) AS layer FROM fs JOIN depth ON c = scc")
+def folder_layers_rounds(spark, sf):
+    """As ``folder_layers``, all islands by relaxation."""
+    return R.layers(E.folder_nodes(D.named(D.nodes(spark, sf))), E.folder_edges(D.named(D.edges(spark, sf))), local_edges=0)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

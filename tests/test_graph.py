@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from causeway.functions import globs, paths
 from causeway.model import KINDS, ConfigError
@@ -48,6 +49,9 @@ def test_random_graphs(spark, seed, local, monkeypatch):
     names = sorted({x for p in pairs for x in p})
     down = {a: plain_reach(pairs, a) for a in names}
     assert {tuple(r) for r in R.closure(e).collect()} == {(a, b) for a in names for b in down[a]}
+    linked = {x for p in pairs if p[0] != p[1] for x in p}
+    got = {r["id"]: (r["forward"], r["reverse"]) for r in R.reach_counts(e).collect()}
+    assert {a: got.get(a, (0, 0)) for a in linked} == {a: (len(down[a]), sum(a in down[b] for b in names)) for a in linked}
     label = {a: min([a, *(b for b in down[a] if a in down[b])]) for a in names}
     assert dict(rows(R.strong_components(e))) == label
     groups = {}
@@ -119,27 +123,28 @@ def test_annotations(spark):
 @pytest.mark.parametrize(
     ("glob", "yes", "no"),
     [
-        ("packages/domain/**", ["packages/domain/src/a.ts", "packages/domain/x"], ["packages/app/a.ts", "packages/domain"]),
-        ("src/*.ts", ["src/a.ts"], ["src/sub/a.ts", "src/a.ts\n"]),
-        ("a.ts", ["a.ts"], ["axts", "a.ts\n"]),
-        ("src/{components,hooks}/**", ["src/hooks/x.tsx"], ["src/lib/x.ts", "src/components,hooks/x.ts"]),
-        ("src/{db,lib/{auth,services}}/**", ["src/db/p.ts", "src/lib/auth/j.ts"], ["src/lib/helper/f.ts"]),
-        ("**/x.ts", ["a/x.ts"], ["x.ts"]),
-        ("a}b,c?[d]", ["a}b,c?[d]"], ["a}b,cx[d]"]),
-        ("**", ["", "a/b"], []),
+        ("farm/barn/**", ["farm/barn/hay.py", "farm/barn/loft/x/y"], ["farm/barn", "farm/barns/x"]),
+        ("field/*.row", ["field/a.row", "field/.row"], ["field/n/a.row", "field/a.row\n", "field/a_row"]),
+        ("plough.py", ["plough.py"], ["ploughxpy", "plough.py\n", "a/plough.py"]),
+        ("{hen,duck}s/**", ["hens/egg", "ducks/a/b"], ["geese/egg", "hen,ducks/a", "hens"]),
+        ("x{1,2{a,b},}y", ["x1y", "x2ay", "x2by", "xy"], ["x2y", "xay"]),
+        ("**/gate", ["n/gate", "/gate", "a/b/gate"], ["gate", "agate"]),
+        ("***", ["", "a/b"], []),
+        ("{*,**/deep}.c", ["a.c", "x/y/deep.c"], ["x/a.c"]),
+        ("odd}name,(1)+[2]?.\\Q\\E$^|", ["odd}name,(1)+[2]?.\\Q\\E$^|"], ["odd}name,(1)+[2]"]),
+        ("**", ["", "m/n"], []),
     ],
 )
 def test_globs(spark, glob, yes, no):
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame([(x, True) for x in yes] + [(x, False) for x in no], "id string, want boolean")
     assert df.where(globs.matches(F.col("id"), glob) != F.col("want")).collect() == []
     assert df.where(F.rlike("id", F.lit(globs.to_regex(glob))) != F.col("want")).collect() == []
 
 
-def test_open_brace():
-    with pytest.raises(ConfigError):
-        globs.to_regex("src/{a,b/**")
+@pytest.mark.parametrize("glob", ["{", "a/{b", "{x,{y}", "p{q,r/**"])
+def test_open_brace(glob):
+    with pytest.raises(ConfigError, match="no closing brace"):
+        globs.to_regex(glob)
 
 
 def rule(**k):
@@ -147,26 +152,32 @@ def rule(**k):
 
 
 def test_check(spark):
-    files = ids(spark, ["src/domain/a.ts", "src/infra/b.ts", "api/x.ts", "db/y.ts"])
-    e = frame(spark, [("api/x.ts", "db/y.ts", "type"), ("api/x.ts", "db/y.ts", "value"), ("src/domain/a.ts", "src/infra/b.ts", "value", 1, 3), ("src/domain/a.ts", "src/infra/b.ts", "type"), ("src/infra/b.ts", "src/domain/a.ts", "value")])
-    cycles = {"file": spark.createDataFrame([(0, ["a", "b"])], "id int, nodes array<string>")}
-    layers = (C.Layer("domain", ("src/domain/**",)), C.Layer("infra", ("src/infra/**", "none/**")))
-    forbid = {"type": "forbidden-edge", "from": "api/**", "to": ["db/**", "nothing"], "fix": "via service"}
+    files = ids(spark, ["cellar/jam.py", "kitchen/pot.py", "kitchen/pan.py", "hall/door.py"])
+    e = frame(spark, [
+        ("cellar/jam.py", "kitchen/pot.py", "value", 2, 7), ("cellar/jam.py", "kitchen/pan.py", "type", 1, 9), ("kitchen/pot.py", "cellar/jam.py", "dynamic"), ("hall/door.py", "cellar/jam.py", "value", 1, 4),
+        ("hall/door.py", "kitchen/pot.py", "value", 1, 5), ("hall/door.py", "kitchen/pot.py", "type", 1, 6),
+    ])
+    cycles = {"file": spark.createDataFrame([(0, ["kitchen/pot.py", "cellar/jam.py"])], "id int, nodes array<string>")}
+    layers = (C.Layer("stores", ("cellar/*", "attic/*")), C.Layer("rooms", ("kitchen/*", "cellar/**")))
+    no_door = {"type": "forbidden-edge", "from": ["hall/**", "porch"], "to": "{kitchen,pantry}/*", "fix": "ask the cook"}
+    free = {"ignore-type-imports": True}
 
     def run(exemptions=(), **k):
         return C.check(C.RuleSet(layers, (rule(**k),), exemptions), files, e, cycles)
 
-    assert run(**forbid).violations.count() == 2
-    got = run(**forbid, **{"ignore-type-imports": True})
-    assert [(r["src"], r["fix"]) for r in got.violations.collect()] == [("api/x.ts", "via service")]
-    assert got.dead_patterns == [("layer infra", "none/**"), ("rule r", "nothing")]
-    got = run(type="layer-order", **{"ignore-type-imports": True})
-    assert [(r["src"], r["line"]) for r in got.violations.collect()] == [("src/domain/a.ts", 3)]
-    every = (C.Exemption("r", "api/**", "**", "old"), C.Exemption("r", "api/x.ts", "**", "later"), C.Exemption("r", "zzz", "**", "stale"))
-    got = run(every, **forbid)
-    assert got.clean and got.unused_exemptions == list(every[1:])
-    got = run((C.Exemption("r", "**", "**", "no"),), type="no-cycles", level="file")
-    assert [r["message"] for r in got.violations.collect()] == ["cycle: a <-> b"]
+    def found(result, *columns):
+        return sorted(tuple(r[c] for c in columns) for r in result.violations.collect())
+
+    assert found(run(**no_door), "src", "kind", "line", "fix") == [("hall/door.py", "type", 6, "ask the cook"), ("hall/door.py", "value", 5, "ask the cook")]
+    assert found(run(**no_door, **free), "kind", "severity", "rationale") == [("value", "error", "x")]
+    assert run(**no_door).dead_patterns == [("layer stores", "attic/*"), ("rule r", "porch")]
+    # the first layer that matches counts; files of none are free
+    assert found(run(type="layer-order"), "dst", "line") == [("kitchen/pan.py", 9), ("kitchen/pot.py", 7)]
+    assert found(run(type="layer-order", **free), "message") == [('layer "stores" may not depend on layer "rooms": cellar/jam.py -> kitchen/pot.py',)]
+    listed = (C.Exemption("r", "hall/*", "kitchen/*", "for now"), C.Exemption("r", "**", "**", "hidden by the one before"), C.Exemption("other", "hall/*", "**", "another rule's"))
+    result = run(listed, **no_door)
+    assert result.clean and result.unused_exemptions == list(listed[1:])
+    assert found(run((C.Exemption("r", "**", "**", "cycles have no edge"),), type="no-cycles", level="file"), "message", "src") == [("file cycle: kitchen/pot.py <-> cellar/jam.py", None)]
 
 
 @pytest.mark.parametrize(
@@ -197,10 +208,27 @@ def test_containers(spark):
 def test_encode_fans_and_layers(spark):
     n, e = ids(spark, ["a.ts", "b.ts", "c.ts", "d.ts"]), frame(spark, [("a.ts", "b.ts"), ("b.ts", "c.ts"), ("b.ts", "b.ts")])
     assert rows(E.dictionary_encode(n, e, KINDS))[0] == (0, 1, 0, 1)
+    many = spark.range(1000).select(F.format_string("k%05d", "id").alias("id")).repartition(7)
+    assert rows(E.positions(many, "id")) == [(f"k{i:05d}", i) for i in range(1000)]
+    assert rows(E.view_hubs(n, e, 3)) == [("b.ts", 2, 2), ("c.ts", 1, 0)]
+    assert rows(E.highlighted(e, "c.ts")) == [("b.ts",), ("c.ts",)] and rows(E.highlighted(e, "d.ts")) == [("d.ts",)]
     assert rows(E.fan_counts(n, e)) == [("a.ts", 0, 1), ("b.ts", 2, 2), ("c.ts", 1, 0), ("d.ts", 0, 0)]
     assert rows(R.view_layers(n, e)) == [("a.ts", 0), ("b.ts", 1), ("c.ts", 2), ("d.ts", -1)]
 
 
+def test_labels_and_areas(spark):
+    shown = spark.createDataFrame([("a/b.ts", "file", 0, 1, 3), ("a/b.ts#C.d", "function", 0, 0, 1), ("a/c", "folder", 4, 4, 0), ("top", "folder", 0, 2, 0), ("e.ts", "file", 0, 1, 0)], "id string, kind string, hidden int, files int, fns int")
+    assert [r[0] for r in shown.select(paths.label_of("id", "kind", "hidden", "files", "fns")).collect()] == ["b.ts {3}", "C.d", "c +4", "top", "e.ts"]
+    places = ids(spark, ["src/library/x.ts#f", "src/pages/p.tsx", "scripts", "prisma/s.ts", "scripted/a", "src/componentsX"])
+    assert [r[0] for r in places.select(paths.area_of("id")).collect()] == ["lib", "pages", "tooling", "tooling", "other", "components"]
+    assert places.select(paths.percent(F.lit(1), F.lit(0)), paths.saving(F.lit(30), F.lit(120)), paths.radius(F.lit("file"), F.lit(0), F.lit(0))).first() == (None, 75.0, 5.7)
+
+
+def test_ranks_share_ties(spark):
+    df = spark.createDataFrame([(k, float(x)) for k, xs in (("a", [3, 1, 3, 2, 3]), (None, [1, 1]), ("b", [])) for x in xs], "k string, x double")
+    assert sorted((r["k"] or "", r["x"], r["r"]) for r in M.average_ranks(df, "x", "k", "r").collect()) == [("", 1.0, 1.5), ("", 1.0, 1.5), ("a", 1.0, 1.0), ("a", 2.0, 2.0), ("a", 3.0, 4.0), ("a", 3.0, 4.0), ("a", 3.0, 4.0)]
+
+
 def test_statistics(spark):
     df = spark.createDataFrame([("g", float(x), float(y)) for x, y in ((1, 2), (2, 4), (2, 5), (3, 9))] + [("flat", 1.0, 2.0), ("flat", 1.0, 3.0)], "k string, x double, y double")
     got = {r["k"]: r for r in M.correlations(df, "x", "y", "k").collect()}
