@@ -138,11 +138,24 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def order_of(seen: DataFrame) -> Order:
-    """At most ``COMMON`` words and ``FREQUENT`` shingles reach the driver."""
-    top = {kind: seen.where(F.col("kind") == kind).groupBy("f1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "f1").limit(most).toPandas() for kind, most in ((1, FREQUENT), (2, COMMON))}
+    """At most ``COMMON`` words and ``FREQUENT`` shingles reach the driver.
+
+    A histogram of counts (four steps to a doubling) says from which step on there are
+    no more than that; so nothing is sorted and no task sees the counts of the others.
+    """
+    code, number = {}, {}
+    for kind, most in ((1, FREQUENT), (2, COMMON)):
+        counts = cut(seen.where(F.col("kind") == kind).groupBy("f1").agg(F.sum("n").alias("n")).withColumn("step", F.floor(4 * F.log2("n"))))
+        least, left = 1 << 30, most
+        for r in sorted(counts.groupBy("step").agg(F.count("*").alias("rows")).collect(), key=lambda r: -r["step"]):
+            left -= r["rows"]
+            if left < 0:
+                break
+            least = r["step"]
+        top = counts.where(F.col("step") >= least).select("f1", "n").toPandas()
+        code[kind], number[kind] = top["f1"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(float)
     total = seen.where("kind = 3").agg(F.sum("n")).first()[0] or 0
-    code = {kind: t["f1"].to_numpy(np.int64).view(np.uint64) for kind, t in top.items()}
-    return Order(code[2], top[2]["n"].to_numpy(float), total, code[1])
+    return Order(code[2], number[2], total, code[1])
 
 
 def _least_label(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
