@@ -9,7 +9,8 @@ leaning either way) these labels train a linear scorer over hashed byte n-grams
 hashed bins of the text's shape, which then judges every whole text; a document is
 kept if its score is at least ``KEEP``.
 
-Null and empty texts score 0 and aren't kept. Repeated rows are judged alike. Empty
+Null and empty texts score 0 and aren't kept. Texts are read whole, 2 MB of them at a
+time or the one that is longer. Repeated rows are judged alike. Empty
 tables give no rows. If all sampled labels lean one way, the posteriors themselves
 are the scores. Extra columns are ignored by :func:`classify` and carried by
 :func:`keep_good`. Gold labels are never read.
@@ -86,8 +87,8 @@ LABELLERS = {
 }
 #: Below so many words the ratios say nothing, and only the length votes.
 LEAST_WORDS = 8
-#: A labeller is taken to call at most this share of good documents bad.
-MOST_WRONG = 0.03
+#: What is believed of a labeller before any vote: the share of good documents that it calls bad, and how many documents that belief counts for, as a share of all.
+PRIOR_WRONG, PRIOR_WEIGHT = 0.02, 0.02
 #: Edges of the bins whose indices are hashed as features.
 BINS = {"words": (5, 20, 60, 200), "word_length": (2.5, 3, 4, 6, 9, 11), "symbols": (0.01, 0.08, 0.25, 0.6), "symbol_words": (0.01, 0.05, 0.15, 0.4), "symbol_share": (0.005, 0.015, 0.04, 0.15), "capital_words": (0.05, 0.2, 0.5, 0.8), "dup_lines": (0.01, 0.05, 0.15, 0.3, 0.6), "repeats": (0.01, 0.1, 0.3, 0.65, 0.85), "capitals": (0.005, 0.12, 0.4, 0.8), "distinct": (1, 2, 4, 8), "same_next": (0.005, 0.02, 0.1, 0.2, 0.5), "ends": (0.005, 0.03, 0.15, 0.4, 0.6)}
 SHAPE_BITS = 10
@@ -112,8 +113,8 @@ def pattern(v: np.ndarray) -> np.ndarray:
 def estimate(patterns: np.ndarray, counts: np.ndarray, labellers: int, rounds: int = 200) -> tuple[np.ndarray, float, np.ndarray]:
     """Expectation-maximisation over vote patterns: (posterior of good by pattern, share of good, rates[class, labeller] of a vote for bad).
 
-    An abstention tells nothing. A labeller calls at most ``MOST_WRONG`` of the
-    good documents that it judges bad.
+    An abstention tells nothing. The prior says which class is the good one; votes of
+    more than ``PRIOR_WEIGHT`` of all documents overrule it.
     """
     v = (patterns[:, None] // 3 ** np.arange(labellers)) % 3
     says = np.stack([v == BAD, v == GOOD], 2).astype(float)
@@ -123,8 +124,8 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, labellers: int, rounds: i
     for _ in range(rounds):
         for c, q in ((0, 1 - post), (1, post)):
             n = (says * (q * counts)[:, None, None]).sum(0)
-            rates[c] = (n[:, 0] + 1) / (n.sum(1) + 2)
-        rates[1] = np.minimum(rates[1], MOST_WRONG)
+            wrong, total = (1.0, 2.0) if c == 0 else (1 + PRIOR_WRONG * PRIOR_WEIGHT * counts.sum(), 2 + PRIOR_WEIGHT * counts.sum())
+            rates[c] = (n[:, 0] + wrong) / (n.sum(1) + total)
         share = float(np.clip((post * counts).sum() / counts.sum(), 1e-4, 1 - 1e-4))
         logs = [says[:, :, 0] @ np.log(r) + says[:, :, 1] @ np.log1p(-r) for r in rates]
         new = linear.sigmoid(logs[1] - logs[0] + np.log(share / (1 - share)))
