@@ -11,7 +11,8 @@ rejections of a stratum to ``risk``. Among accepted cutoffs the one is used that
 rejects the most bad documents, a good one weighing ``price`` bad ones, and the
 loosest on ties; a rule with no accepted, useful cutoff rejects nothing.
 
-Null and empty texts have zero counts and fail the base rule. A null stratum is a
+Null and empty texts have zero counts and fail the base rule. Texts are read whole, 2 MB
+of them at a time or the one that is longer. A null stratum is a
 stratum of its own. Repeated rows are judged alike, each row once. A document
 labelled more than once counts as bad if any label says so. Empty tables and
 tables without labels give the base rule alone. Extra columns are ignored.
@@ -109,11 +110,17 @@ def statistics(docs: DataFrame, text="text", doc_id="doc_id", stratum="lang") ->
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
-    """P(Bin(n, p) <= k), exactly summed."""
-    i = np.arange(k + 1)
-    logs = np.array([math.lgamma(n + 1) - math.lgamma(x + 1) - math.lgamma(n - x + 1) for x in i]) + i * math.log(p) + (n - i) * math.log1p(-p)
-    top = logs.max()
-    return min(1.0, math.exp(top) * float(np.exp(logs - top).sum()))
+    """P(Bin(n, p) <= k), summed from k downwards until the terms, which fall there if k < n p, no longer count."""
+    if k >= n:
+        return 1.0
+    log = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+    total = term = 1.0
+    for x in range(k, 0, -1):
+        term *= x * (1 - p) / ((n - x + 1) * p)
+        total += term
+        if term < 1e-17 * total and x < (n + 1) * p:
+            break
+    return min(1.0, math.exp(log + math.log(total)))
 
 
 def choose(counts: dict, risk=RISK, delta=DELTA, price=PRICE) -> dict:
