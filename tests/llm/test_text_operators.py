@@ -58,7 +58,8 @@ def test_shingles_are_sets_of_five_lowered_words():
 
 
 def test_binomial_tail():
-    for k, n, p in ((0, 10, 0.1), (3, 50, 0.1), (7, 200, 0.05), (10, 10, 0.3)):
+    assert 0 < quality_rules.binomial_tail(450_000, 10**8, 0.005) < 1e-300 or quality_rules.binomial_tail(450_000, 10**8, 0.005) == 0
+    for k, n, p in ((0, 10, 0.1), (9, 10, 0.9), (150, 200, 0.5), (3, 50, 0.1), (7, 200, 0.05), (10, 10, 0.3)):
         assert math.isclose(quality_rules.binomial_tail(k, n, p), sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)), rel_tol=1e-9)
 
 
@@ -81,6 +82,50 @@ def test_rules_on_odd_tables(spark):
     assert quality_rules.apply_rules(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_rules_against_a_plain_judge(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdeFG", k=5))
+    texts, quality = [], []
+    for i in range(900):
+        w = [word() for _ in range(rng.randint(5, 70))]
+        bad = i % 9 == 0
+        if bad:
+            w = [x + "#$"[: rng.randint(0, 2)] for x in w] if i % 2 else w[:12] * 4
+        texts.append(("\n" if i % 4 else " ").join(w))
+        quality.append(0 if bad else 1)
+    labels = [(i, q, 0) for i, q in enumerate(quality) if i % 5]
+    docs = table(spark, texts)
+    got = {r["doc_id"]: r for r in quality_rules.apply_rules(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), risk=0.2, delta=0.2).collect()}
+
+    def counts(t):
+        w, lines = t.split(), [x for x in t.split("\n") if x.split()]
+        seen = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+        twice = {j for i, x in enumerate(seen) if seen.count(x) > 1 for j in range(i, i + 8)}
+        return {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": sum(c in "#*$%&|<>" for c in t), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(twice), "n_lines": len(lines), "n_capitals": sum(c.isupper() for c in t)}
+
+    ratios = {"symbols": lambda c: c["n_symbols"] / max(c["n_words"], 1), "dup_lines": lambda c: c["n_dup_lines"] / max(c["n_lines"], 1), "repeats": lambda c: c["n_repeat_words"] / max(c["n_words"], 1), "capitals": lambda c: c["n_capitals"] / max(c["word_chars"], 1)}
+    all_ = [counts(t) for t in texts]
+    failed = [c["n_words"] < 20 or 100 * c["n_repeat_words"] > 30 * c["n_words"] for c in all_]
+    sure = [(i, q) for i, q, _ in labels if not failed[i]]
+    n, limit, tests = sum(q for _, q in sure), 0.2 / 4, []
+    for rule, ratio in ratios.items():
+        for c in quality_rules.GRID:
+            k, bad = (sum(q == want and ratio(all_[i]) > c for i, q in sure) for want in (1, 0))
+            p = 1.0 if k >= limit * n else sum(math.comb(n, x) * limit**x * (1 - limit) ** (n - x) for x in range(k + 1))
+            tests.append((p, str(("en", rule, c)), rule, c, k, bad))
+    best = {}
+    for i, (p, _, rule, c, k, bad) in enumerate(sorted(tests)):
+        if p > 0.2 / (len(tests) - i):
+            break
+        if bad > 5 * k and (bad - 5 * k, c) > best.get(rule, (0, 0)):
+            best[rule] = (bad - 5 * k, c)
+    assert best
+    for i, c in enumerate(all_):
+        r = got[i]
+        assert {x: r[x] for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")} == {x: c[x] for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
+        assert r["base_failed"] == failed[i] and r["kept"] == (not failed[i] and not any(ratios[x](c) > cut for x, (_, cut) in best.items()))
+
+
 def test_learned_rule_rejects_junk_and_keeps_good(spark):
     rng = random.Random(1)
     words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
@@ -101,6 +146,91 @@ def test_expectation_maximisation_finds_the_classes():
     assert ((post[np.searchsorted(patterns, v @ 3 ** np.arange(4))] > 0.5) == truth).mean() > 0.97
 
 
+def plain_grams(text, lower=True):
+    """The bucket of every 3-byte string of a text."""
+    data = bytes(b + 32 if lower and 65 <= b <= 90 else b for b in text.encode())
+    return [(((data[i] * 257 + data[i + 1]) * 257 + data[i + 2]) % 2**32 * 2654435761 % 2**32) >> (32 - linear.BITS) for i in range(len(data) - 2)]
+
+
+MANY = ["", "ab", "Fox runs! the DOG sleeps. a\nthen #### nothing?", "word " * 700, "été à la plage. " * 9, "x" * 2_200_000 + ". End here."]
+
+
+def test_linear_scorer_against_plain_sums():
+    rng = np.random.default_rng(5)
+    model = weak_labels.Model({}, rng.normal(size=(linear.BUCKETS, 1)), rng.normal(size=1 << weak_labels.SHAPE_BITS), np.array([0.3]))
+    for t in batches(pa.array(MANY)):
+        got, shapes = model.score(t), weak_labels.shape_buckets(weak_labels.shape(t))
+        for i in range(t.n):
+            text = MANY[t.first + i]
+            g = plain_grams(text, lower=False)
+            z = 0.3 + linear.SCALE * (sum(model.grams[b, 0] for b in g) / len(g) if g else 0) + linear.SCALE * sum(model.shapes[b] for b in shapes[i]) / len(weak_labels.BINS)
+            want = 1 / (1 + math.exp(-z)) if z > -700 else 0.0
+            assert abs(got[i] - (want if text.split() else 0.0)) < 1e-3
+
+
+def test_estimation_against_plain_steps():
+    rng = np.random.default_rng(6)
+    patterns, counts = np.unique(rng.integers(0, 3, (4000, 3)) @ 3 ** np.arange(3), return_counts=True)
+    votes = [[int(p) // 3**j % 3 for j in range(3)] for p in patterns]
+    total = int(counts.sum())
+    post = [(1 + v.count(1)) / (1 + v.count(1) + 4 * (v.count(0) + 0.25)) for v in votes]
+    for _ in range(25):
+        rate = {}
+        for c in (0, 1):
+            for j in range(3):
+                q = [(p if c else 1 - p) * n for p, n in zip(post, counts)]
+                bad, said = sum(x for x, v in zip(q, votes) if v[j] == 0), sum(x for x, v in zip(q, votes) if v[j] < 2)
+                extra = weak_labels.PRIOR_WEIGHT * total if c else 0
+                rate[c, j] = (bad + 1 + weak_labels.PRIOR_WRONG * extra) / (said + 2 + extra)
+        share = min(max(sum(p * n for p, n in zip(post, counts)) / total, 1e-4), 1 - 1e-4)
+        like = lambda v, c: math.prod(rate[c, j] if x == 0 else 1 - rate[c, j] for j, x in enumerate(v) if x < 2)  # noqa: B023, E731
+        post = [share * like(v, 1) / (share * like(v, 1) + (1 - share) * like(v, 0)) for v in votes]
+    got, *_ = weak_labels.estimate(patterns, counts.astype(float), 3, rounds=25)
+    assert np.abs(got - post).max() < 1e-6
+
+
+def test_decoding_against_plain_losses():
+    rng = np.random.default_rng(7)
+    codes = language_id.codewords(4)
+    model = language_id.Model(list("abcd"), codes, rng.random(codes.shape[1]), rng.normal(size=(linear.BUCKETS, codes.shape[1])), rng.normal(size=codes.shape[1]))
+    for t in batches(pa.array(MANY)):
+        lang, score, close = model.predict(t)
+        for i in range(t.n):
+            g = plain_grams(MANY[t.first + i])
+            if not any(map(str.isalpha, MANY[t.first + i])):
+                assert (lang[i], score[i]) == ("und", 0)
+                continue
+            margin = [model.bias[b] + linear.SCALE * (sum(model.weights[x, b] for x in g) / len(g) if g else 0) for b in range(codes.shape[1])]
+            loss = [sum(w * np.logaddexp(0, -m * c) for w, m, c in zip(model.trust, margin, code)) for code in codes]
+            p = np.exp(min(loss) - np.array(loss))
+            p = sorted(zip(p / p.sum(), "abcd"))
+            assert lang[i] == p[-1][1] and abs(score[i] - p[-1][0]) < 1e-3 and close[i] == (p[-1][0] - p[-2][0] < language_id.MARGIN)
+
+
+def test_noisy_or_against_plain_products():
+    rng = np.random.default_rng(8)
+    model = toxicity.Model(rng.normal(size=1 << toxicity.BITS), -1.0)
+    for t in batches(pa.array([*MANY, "One bad line\nno. ???", "a.b.c"])):
+        got = model.score(t)
+        for i in range(t.n):
+            text, kept, sentences = t.text(i).decode(), 1.0, 0
+            probabilities = []
+            for s in re.split(r"[.!?\n\r]", text):
+                words = re.findall(rb"[A-Za-z0-9\x80-\xff]+", s.encode())
+                if not words:
+                    continue
+                one = next(batches(pa.array([s])))
+                bucket, *_ = toxicity.bag(one)
+                assert len(bucket) == sum(1 + sum(len(w) > k for k in toxicity.STEMS) for w in words)
+                z = model.bias + sum(model.weights[b] for b in bucket)
+                probabilities.append(1 / (1 + math.exp(-max(z, -500))))
+                kept *= 1 - min(probabilities[-1], 1 - 1e-12)
+                sentences += 1
+            assert abs(got["score"][i] - (1 - kept if sentences else 0)) < 1e-6 and got["n_sentences"][i] == sentences
+            if sentences:
+                assert got["n_offending"][i] == sum(p >= 0.5 for p in probabilities) and abs(got["worst_score"][i] - max(probabilities)) < 1e-9
+
+
 def test_weak_labels_on_tables(spark):
     rng = random.Random(2)
     prose = lambda: ". ".join(" ".join("".join(rng.choices("abcdefghik", k=rng.randint(3, 7))) for _ in range(12)).capitalize() for _ in range(6)) + "."
@@ -201,6 +331,8 @@ def test_decontamination(spark):
     texts[5] = items[33] + " " + items[9]
     texts += [None, "", "short one", items[2].split("?")[0]]
     docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, item_id string")
+    long_text = "lorem ipsum " * 250_000 + items[11] + " dolor" * 100
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.search(spark.createDataFrame([(None, long_text)], "doc_id long, text string"), bench).collect()] == [(None, 11)]
     for shard in (20_000, 7):
         got = {(r["doc_id"], r["item_id"]) for r in decontaminate.search(docs, bench, shard=shard).collect()}
         assert got == {(3, 7), (5, 33), (5, 9), (22, 30)}
