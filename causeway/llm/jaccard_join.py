@@ -6,8 +6,9 @@
    come first, those of frequent words later, shingles that turned up often last
    (bounded lists of both, which change speed but not results), and the rest goes by
    hash; so few shingles are shared by chance. Shingles travel packed per batch and
-   bucket. Sets with a shared one send a parity signature (a bit per shingle hash, at
-   least as many bits as shingles, XORed) to the buckets where they share it; the
+   bucket. Lists of sets that share one are dealt anew by their least member; the sets
+   send a parity signature (a bit per shingle hash, at least as many bits as shingles,
+   XORed) to the buckets of their lists; the
    bits in which two signatures differ are no more than the shingles in which the
    sets differ, so pairs beyond the greatest allowed difference are dropped there,
    in memory. What is left are edges, reduced to a forest per bucket; every pair that
@@ -173,8 +174,27 @@ def _least_label(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def _distinct_lists(members: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each different list once (by 128 bits of its members), in the order given."""
+    if not len(size):
+        return members, size
+    begin = np.cumsum(size) - size
+    code = members.view(np.uint64)
+    sums = np.stack([np.add.reduceat(mix(code ^ np.uint64(salt)), begin) for salt in (0, 0xA5A5A5A55A5A5A5A)], 1)
+    _, first = np.unique(sums, axis=0, return_index=True)
+    if len(first) == len(size):
+        return members, size
+    keep = np.zeros(len(size), bool)
+    keep[first] = True
+    return members[np.repeat(keep, size)], size[keep]
+
+
 def shared_lists(docs: DataFrame, order: Order, clashing: frozenset[int] = frozenset()) -> DataFrame:
-    """One row per bucket: lists of classes of like size that share a prefix shingle."""
+    """One row per bucket: lists of classes of like size that share a prefix shingle.
+
+    Lists are found by shingle and then dealt by their least member, equal ones once: what
+    is alike shares most of its lists, so a class is in few buckets, however many there are.
+    """
     spark = docs.sparkSession
     buckets, ship = parts(spark), spark.sparkContext.broadcast(order)
 
@@ -230,12 +250,28 @@ def shared_lists(docs: DataFrame, order: Order, clashing: frozenset[int] = froze
         used[:-1] |= near
         cut_at = np.ones(len(token), bool)  # a list ends where the next size is too far
         cut_at[1:] = ~near
-        names, who = np.unique(cid[used], return_inverse=True)
-        group = np.cumsum(cut_at)[used]
-        return pa.table({"bucket": rows.column("bucket").slice(0, 1), "cids": pa.array([names.tobytes()], pa.binary()), "who": pa.array([who.astype(np.int32).tobytes()], pa.binary()), "list": pa.array([np.diff(group, prepend=group[:1]).astype(bool).tobytes()], pa.binary())})
+        members, group = cid[used], np.cumsum(cut_at)[used]
+        begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+        members, size = _distinct_lists(members, np.diff(np.append(begin, len(members))))
+        begin = np.cumsum(size) - size
+        to = (mix(np.minimum.reduceat(members, begin).view(np.uint64)) % np.uint64(buckets)).astype(np.int64) if len(size) else np.zeros(0, np.int64)
+        out = []
+        for k in np.unique(to):
+            some = np.flatnonzero(to == k)
+            out.append((int(k), np.concatenate([members[begin[i] : begin[i] + size[i]] for i in some]).tobytes(), size[some].astype(np.int32).tobytes()))
+        return pa.table({c: pa.array([o[i] for o in out], t) for i, (c, t) in enumerate((("bucket", pa.int32()), ("members", pa.binary()), ("sizes", pa.binary())))})
+
+    def gather(rows: pa.Table) -> pa.Table:
+        members, size = (np.concatenate([np.frombuffer(x, kind) for x in rows.column(c).to_pylist()]) for c, kind in (("members", np.int64), ("sizes", np.int32)))
+        members, size = _distinct_lists(members, size.astype(np.int64))
+        names, who = np.unique(members, return_inverse=True)
+        first = np.zeros(len(members), bool)
+        first[(np.cumsum(size) - size)[1:]] = True
+        return pa.table({"bucket": rows.column("bucket").slice(0, 1), "cids": pa.array([names.tobytes()], pa.binary()), "who": pa.array([who.astype(np.int32).tobytes()], pa.binary()), "list": pa.array([first.tobytes()], pa.binary())})
 
     packed = docs.select("text").mapInArrow(pack, "bucket int, token binary, local binary, cid binary, n binary")
-    return packed.groupBy("bucket").applyInArrow(keep_shared, "bucket int, cids binary, who binary, list binary")
+    met = packed.groupBy("bucket").applyInArrow(keep_shared, "bucket int, members binary, sizes binary")
+    return met.groupBy("bucket").applyInArrow(gather, "bucket int, cids binary, who binary, list binary")
 
 
 def signature(s: np.ndarray) -> np.ndarray:
