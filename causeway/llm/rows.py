@@ -79,3 +79,8 @@ def map_rows(docs: DataFrame, run, *more: T.StructField) -> DataFrame:
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def by_number(rows: DataFrame, column: str) -> DataFrame:
+    """Rows dealt to partitions by ``column`` modulo their number: numbered blocks or buckets spread evenly, while their hashes leave a third of the partitions empty."""
+    return rows.repartitionById(parts(rows.sparkSession), F.col(column))

@@ -180,6 +180,34 @@ def test_substrings(spark):
     assert substring_dedup.remove(odd.limit(0)).count() == 0
 
 
+def test_substrings_around_one_phrase(spark):
+    """A phrase too short to go, in ever new surroundings, some of which repeat: split and unsplit alike."""
+    rng = random.Random(12)
+    phrase = "licensed under the terms of the corpus agreement"
+    assert len(phrase) < 50
+    texts = [words(rng, 12) + f" {phrase} " + words(rng, 12) for _ in range(300)]
+    texts += [t[5:-5] for t in texts[:20]] + texts[40:50] * 3 + ["a" + phrase + "b", "za" + phrase + "b"]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(plain_removal([(i, t.encode()) for i, t in enumerate(texts)]))
+    for heavy, many in ((1, 1), (20, 2), (10**9, 16)):
+        assert sorted(tuple(r) for r in substring_dedup.remove(docs, heavy=heavy, many=many).collect()) == want
+
+
+def test_strings_of_segments():
+    rng = np.random.default_rng(13)
+    count = np.array([1, 31, 4, 7])
+    size = count + substring_dedup.LENGTH - 1
+    data = rng.integers(0, 256, int(size.sum())).astype(np.uint8)
+    start = np.cumsum(size) - size
+    who, place, string = substring_dedup._strings(substring_dedup._matrix(data, start, size), count)
+    assert [(w, p) for w, p in zip(who, place)] == [(w, p) for w in range(4) for p in range(count[w])]
+    assert all((data[start[w] + p : start[w] + p + 50] == s).all() for w, p, s in zip(who, place, string))
+    same = np.concatenate([string, string])
+    assert (substring_dedup._hash(same)[: len(string)] == substring_dedup._hash(string)).all()
+    assert len(np.unique(substring_dedup._hash(string))) == len(string)
+
+
 def test_mixing_agrees_with_sql(spark):
     rng = random.Random(11)
     rows = [(i, words(rng, rng.randint(0, 40)) or None, rng.choice(["a", "b", "b", "b", "B", "é", None])) for i in range(300)]
