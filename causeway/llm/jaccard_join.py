@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.rows import column, may_have, parts, quoted, unused
+from causeway.llm.rows import by_number, column, may_have, parts, quoted, unused
 from causeway.llm.textkernel import LOWER, Texts, batches, mix, shingle_sets, windows
 from causeway.operators.components import connected_components
 from causeway.shared import cut, drop, table
@@ -270,7 +270,7 @@ def shared_lists(docs: DataFrame, order: Order, clashing: frozenset[int] = froze
         return pa.table({"bucket": rows.column("bucket").slice(0, 1), "cids": pa.array([names.tobytes()], pa.binary()), "who": pa.array([who.astype(np.int32).tobytes()], pa.binary()), "list": pa.array([first.tobytes()], pa.binary())})
 
     packed = docs.select("text").mapInArrow(pack, "bucket int, token binary, local binary, cid binary, n binary")
-    met = packed.groupBy("bucket").applyInArrow(keep_shared, "bucket int, members binary, sizes binary")
+    met = by_number(by_number(packed, "bucket").groupBy("bucket").applyInArrow(keep_shared, "bucket int, members binary, sizes binary"), "bucket")
     return met.groupBy("bucket").applyInArrow(gather, "bucket int, cids binary, who binary, list binary")
 
 
@@ -396,9 +396,9 @@ def candidate_edges(reps: DataFrame, lists: DataFrame) -> DataFrame:
         moved = label != np.arange(len(names))
         return pa.table({"src": names[moved], "dst": names[label[moved]]})
 
-    buckets = lists.mapInArrow(where, "part int, bucket int, cids binary").groupBy("part").applyInArrow(gather, "cid long, buckets array<int>")
+    buckets = by_number(lists.mapInArrow(where, "part int, bucket int, cids binary"), "part").groupBy("part").applyInArrow(gather, "cid long, buckets array<int>")
     signed = reps.select("cid", "n", "sig").join(buckets, "cid").mapInArrow(sign, "bucket int, head binary, bits binary")
-    return lists.groupBy("bucket").cogroup(signed.groupBy("bucket")).applyInArrow(meet, "src long, dst long")
+    return by_number(lists, "bucket").groupBy("bucket").cogroup(by_number(signed, "bucket").groupBy("bucket")).applyInArrow(meet, "src long, dst long")
 
 
 class SignatureTree:
