@@ -5,9 +5,9 @@ of ``cap`` times a source's size, and each document is emitted ``floor(rate)``
 times plus one more with probability ``rate - floor(rate)``, drawn from a hash of
 the seed and its id, so that reruns and retried tasks agree.
 
-Only one small row per source is shuffled; documents never are. The table of
-sources joins the documents by whatever join its measured size allows (AQE
-broadcasts it or splits a hot source).
+One row per source and task is shuffled, documents aren't: the table of sources is
+made first and broadcast if its measured size allows. With too many sources for that,
+documents and sources meet in shares of each source, so a hot one is not one task's.
 
 Null or empty texts have size 0 and take nothing. A null source is a source of
 its own, last in order. Repeated rows with one id share their draw. Extra columns
@@ -21,11 +21,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.llm.rows import quoted, unused
+from causeway.shared import cut
 
 #: Fixed values of the contract: weights in turn, and how often a source is used at most.
 WEIGHTS = (1, 2, 3)
 CAP = 3
 SEED = "mix-1"
+#: The table of sources is broadcast up to this many bytes; beyond, rows and sources meet in this many shares of each source.
+BROADCAST_BYTES, SALTS = 8 << 20, 32
 
 SPACES = "[\\x20\\x09-\\x0D]"
 WORDS = "[^\\x20\\x09-\\x0D]"
@@ -64,27 +67,45 @@ def draw(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(code, 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
 
 
-def _with_copies(docs: DataFrame, text: str, source: str, doc_id: str, weights, cap, seed) -> tuple[DataFrame, list[str]]:
+def _with_targets(docs: DataFrame, targets: DataFrame, text: str, source: str, doc_id: str, broadcast_bytes: int) -> DataFrame:
+    """``docs`` left-joined to their source's row of ``targets`` (its first column).
+
+    Left to the planner, whole documents are shuffled by source before it sees that the
+    other side is small. So that side is measured: within ``broadcast_bytes`` no document
+    moves, beyond that a source's documents are dealt to ``SALTS`` shares by id and text.
+    """
+    of = targets.columns[0]
+    width = targets.agg(F.sum(F.coalesce(F.octet_length(F.col(of).cast("string")), F.lit(0)) + 64)).first()[0] or 0
+    same = quoted(source).eqNullSafe(F.col(of))
+    if width <= broadcast_bytes:
+        return docs.join(F.broadcast(targets), same, "left")
+    salt, of_salt = unused([*docs.columns, *targets.columns], "mix_salt", "mix_of_salt")
+    shares = targets.withColumn(of_salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = docs.withColumn(salt, F.pmod(F.xxhash64(quoted(doc_id), quoted(text)), F.lit(SALTS)).cast("int"))
+    return dealt.join(shares, same & (F.col(salt) == F.col(of_salt)), "left").drop(salt, of_salt)
+
+
+def _with_copies(docs: DataFrame, text: str, source: str, doc_id: str, weights, cap, seed, broadcast_bytes) -> tuple[DataFrame, list[str]]:
     """``docs`` and columns (names given back) for size, source_size, target and copies."""
     size, of, total, target, copies = names = unused(docs.columns, "mix_size", "mix_of", "mix_source_size", "mix_target", "mix_copies")
     rows = docs.select(quoted(source).alias("mix_source"), word_count(quoted(text)).alias("mix_size"))
-    targets = source_targets(rows, weights, cap).toDF(of, total, target)
-    joined = docs.withColumn(size, word_count(quoted(text))).join(targets, quoted(source).eqNullSafe(F.col(of)), "left")
+    targets = cut(source_targets(rows, weights, cap)).toDF(of, total, target)
+    joined = _with_targets(docs.withColumn(size, word_count(quoted(text))), targets, text, source, doc_id, broadcast_bytes)
     rate = F.when(F.col(total) > 0, F.least(F.col(target) / F.col(total), F.lit(float(cap)))).otherwise(0.0)
     times = F.floor(rate) + (draw(quoted(doc_id), seed) < rate - F.floor(rate)).cast("long")
     return joined.withColumn(copies, F.when(F.col(size) > 0, times).otherwise(F.lit(0)).cast("long")), [size, total, target, copies]
 
 
-def plan_mix(docs: DataFrame, text="text", source="source", doc_id="doc_id", weights=WEIGHTS, cap=CAP, seed=SEED) -> DataFrame:
+def plan_mix(docs: DataFrame, text="text", source="source", doc_id="doc_id", weights=WEIGHTS, cap=CAP, seed=SEED, broadcast_bytes=BROADCAST_BYTES) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies."""
     docs = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"), quoted(source).alias("source"))
-    out, (size, total, target, copies) = _with_copies(docs, "text", "source", "doc_id", weights, cap, seed)
+    out, (size, total, target, copies) = _with_copies(docs, "text", "source", "doc_id", weights, cap, seed, broadcast_bytes)
     return out.select("doc_id", F.col(size).alias("size"), F.col(total).alias("source_size"), F.col(target).alias("target"), (F.col(size) * F.col(copies)).alias("taken"), F.col(copies).alias("copies"))
 
 
-def emit_mix(docs: DataFrame, text="text", source="source", doc_id="doc_id", weights=WEIGHTS, cap=CAP, seed=SEED) -> DataFrame:
+def emit_mix(docs: DataFrame, text="text", source="source", doc_id="doc_id", weights=WEIGHTS, cap=CAP, seed=SEED, broadcast_bytes=BROADCAST_BYTES) -> DataFrame:
     """The documents themselves, each as many times as the mix takes it; columns as given."""
-    out, (*_, copies) = _with_copies(docs, text, source, doc_id, weights, cap, seed)
+    out, (*_, copies) = _with_copies(docs, text, source, doc_id, weights, cap, seed, broadcast_bytes)
     names = [quoted(c) for c in docs.columns]
     (turn,) = unused(docs.columns, "mix_turn")
     return out.where(F.col(copies) > 0).select(*names, F.explode(F.array_repeat(F.lit(1), F.col(copies).cast("int"))).alias(turn)).select(*names)

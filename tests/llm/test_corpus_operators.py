@@ -223,7 +223,12 @@ def test_mixing_agrees_with_sql(spark):
     per = {r["source_size"]: r["target"] for r in got.collect()}
     assert all(t <= 3 * s + 1e-6 for s, t in per.items())
     assert mixing.emit_mix(docs).count() == got.agg(F.sum("copies")).first()[0] and mixing.emit_mix(docs).columns == docs.columns
-    assert mixing.plan_mix(docs.limit(0)).count() == 0
+    shared = mixing.plan_mix(docs, broadcast_bytes=0)
+    assert sorted(clean_rows(shared.toPandas()), key=key) == sorted(clean_rows(want), key=key)
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().toString() and "mix_salt" in shared._jdf.queryExecution().toString()
+    emitted = [sorted(map(str, mixing.emit_mix(docs, broadcast_bytes=b).collect())) for b in (0, mixing.BROADCAST_BYTES)]
+    assert emitted[0] == emitted[1] and mixing.emit_mix(docs, broadcast_bytes=0).columns == docs.columns
+    assert mixing.plan_mix(docs.limit(0)).count() == 0 and mixing.plan_mix(docs.limit(0), broadcast_bytes=-1).count() == 0
     assert mixing.plan_mix(docs.withColumn("text", F.lit(None).cast("string"))).agg(F.sum("taken")).first()[0] == 0
 
 
