@@ -250,7 +250,7 @@ def high_keys(tmp_path_factory):
     return str(out)
 
 
-PRINTED = ["display_node"]
+PRINTED = ["display_node", "check_layer_order"]
 
 
 @pytest.mark.parametrize("name", PRINTED)
