@@ -250,7 +250,7 @@ def high_keys(tmp_path_factory):
     return str(out)
 
 
-PRINTED = ["display_node", "check_layer_order"]
+PRINTED = ["display_node", "check_layer_order", "folder_nodes"]
 
 
 @pytest.mark.parametrize("name", PRINTED)
