@@ -250,7 +250,7 @@ def high_keys(tmp_path_factory):
     return str(out)
 
 
-PRINTED = ["display_node", "check_layer_order", "folder_nodes", "unified_graph"]
+PRINTED = ["display_node", "check_layer_order", "folder_nodes", "unified_graph", "folder_graph"]
 
 
 @pytest.mark.parametrize("name", PRINTED)
