@@ -46,14 +46,15 @@ def frontier_nodes(nodes: DataFrame, expanded: list[str]) -> DataFrame:
     """Display nodes with kind, hidden children, file and function counts, and the side most voted for.
 
     A node that shows itself votes with a weight of 1000; on equal votes the side
-    seen first (by id) wins. Every node has one side, so votes are few per group.
+    seen first (by id) wins, of one id's sides the least. Every node has one side, so
+    votes are few per group.
     """
     side = F.col("annotation.side") if "annotation" in nodes.columns else F.lit(None).cast("string")
     rows = nodes.select("id", paths.display_node("id", expanded).alias("display"), side.alias("side"))
     is_fn, own = F.instr("id", "#") > 0, F.col("id") == F.col("display")
     groups = rows.groupBy("display").agg(F.count_if(~is_fn).alias("fileCount"), F.count_if(is_fn).alias("fnCount"), F.bool_or(own).alias("shown"))
     votes = rows.where("side IS NOT NULL").groupBy("display", "side").agg(F.sum(F.when(own, 1000).otherwise(1)).alias("votes"), F.min("id").alias("first"))
-    best = votes.groupBy("display").agg(F.max(F.col("votes")).alias("top")).join(votes, "display").where("votes = top").groupBy("display").agg(F.min_by("side", "first").alias("side"))
+    best = votes.groupBy("display").agg(F.max(F.col("votes")).alias("top")).join(votes, "display").where("votes = top").groupBy("display").agg(F.min_by("side", F.struct("first", "side")).alias("side"))
     kind = F.when(F.instr("display", "#") > 0, "function").when(F.col("shown"), "file").otherwise("folder")
     out = groups.join(best, "display", "left").withColumn("kind", kind)
     hidden = F.when(F.col("kind") == "folder", F.col("fileCount")).when(F.col("kind") == "file", F.col("fnCount")).otherwise(0)

@@ -250,7 +250,7 @@ def high_keys(tmp_path_factory):
     return str(out)
 
 
-PRINTED = ["display_node", "check_layer_order", "folder_nodes", "unified_graph", "folder_graph", "annotations_inherited", "cycles_folder", "check_no_cycles", "check_exempted", "folder_layers", "folder_layers_rounds", "initial_expanded", "folder_type_only"]
+PRINTED = ["display_node", "check_layer_order", "folder_nodes", "unified_graph", "folder_graph", "annotations_inherited", "cycles_folder", "check_no_cycles", "check_exempted", "folder_layers", "folder_layers_rounds", "initial_expanded", "folder_type_only", "frontier_nodes"]
 
 
 @pytest.mark.parametrize("name", PRINTED)
@@ -267,3 +267,9 @@ def test_names_beyond_their_printed_width(spark, high_keys, name):
     got = Q.queries()[name](spark, high_keys).select(*[f"`{c}`" for c in want.columns])
     text = lambda found: sorted(repr(tuple(r)) for r in found)
     assert text(got.collect()) == text(want.fetchall())
+
+
+def test_a_tie_of_one_ids_sides_goes_to_the_least(spark):
+    nodes = spark.createDataFrame([("a/x.ts", (side,)) for side in ("shared", "backend", "tooling")], "id string, annotation struct<side: string>")
+    for order in (F.asc("annotation.side"), F.desc("annotation.side")):
+        assert E.frontier_nodes(nodes.orderBy(order).coalesce(1), ["."]).first()["side"] == "backend"
