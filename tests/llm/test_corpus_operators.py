@@ -180,6 +180,20 @@ def test_substrings(spark):
     assert substring_dedup.remove(odd.limit(0)).count() == 0
 
 
+def test_substrings_travel_compressed(spark, monkeypatch):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(3, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(120)]
+    docs = spark.createDataFrame([(2 * i + k, f"{k} {t}") for i, t in enumerate(texts) for k in (0, 1)], "doc_id long, text string")
+    dealt, by_number = [], substring_dedup.by_number
+    monkeypatch.setattr(substring_dedup, "by_number", lambda rows, column: dealt.append(rows) or by_number(rows, column))
+    got = substring_dedup.remove(docs)
+    assert got.where("n_removed > 0").count() == len(texts)
+    sent = next(d for d in dealt if {"head", "text"} <= set(d.columns))
+    size = sum(F.octet_length(c) for c, kind in sent.dtypes if kind == "binary")
+    assert sent.agg(F.sum(size)).first()[0] < 4 * sum(2 * len(t) + 4 for t in texts)
+
+
 def test_substrings_around_one_phrase(spark):
     """A phrase too short to go, in ever new surroundings, some of which repeat: split and unsplit alike."""
     rng = random.Random(12)
