@@ -180,10 +180,10 @@ def bake_annotations(nodes: DataFrame, authored: DataFrame) -> DataFrame:
     return nodes.join(new, "id", "left").withColumn("baked", F.col("new").isNotNull()).withColumn("annotation", F.coalesce("new", "annotation")).drop("new")
 
 
-def inherit_annotations(functions: DataFrame, files: DataFrame) -> DataFrame:
-    """A function without an annotation has its file's."""
+def inherit_annotations(functions: DataFrame, files: DataFrame, how: str = "left") -> DataFrame:
+    """A function without an annotation has its file's; ``inner`` leaves out functions of unknown files."""
     up = files.select(F.col("id").alias("of"), F.col("annotation").alias("up"))
-    return functions.join(up, paths.file_of("id") == F.col("of"), "left").withColumn("annotation", F.coalesce("annotation", "up")).drop("of", "up")
+    return functions.join(up, paths.file_of("id") == F.col("of"), how).withColumn("annotation", F.coalesce("annotation", "up")).drop("of", "up")
 
 
 def cycle_edges(cycles: DataFrame, edges: DataFrame) -> DataFrame:

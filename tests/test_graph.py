@@ -273,3 +273,17 @@ def test_a_tie_of_one_ids_sides_goes_to_the_least(spark):
     nodes = spark.createDataFrame([("a/x.ts", (side,)) for side in ("shared", "backend", "tooling")], "id string, annotation struct<side: string>")
     for order in (F.asc("annotation.side"), F.desc("annotation.side")):
         assert E.frontier_nodes(nodes.orderBy(order).coalesce(1), ["."]).first()["side"] == "backend"
+
+
+def test_functions_of_missing_parts_inherit_nothing(spark, tmp_path):
+    """Against the query's own SQL, on lines of parts that the table of parts lacks."""
+    import duckdb
+
+    from causeway.plans import queries as Q
+
+    db = duckdb.connect()
+    for t, kept in (("part", "p_partkey % 3 <> 0"), ("lineitem", "true")):
+        db.sql(f"COPY (SELECT * FROM '/root/testdata/sf0.001/{t}.parquet' WHERE {kept}) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    want = db.sql(Q.oracle_sql()["annotations_inherited"]).fetchall()
+    assert want and sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in Q.queries()["annotations_inherited"](spark, str(tmp_path)).select("id", "annotation").collect())
