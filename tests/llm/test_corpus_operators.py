@@ -194,6 +194,19 @@ def test_substrings_travel_compressed(spark, monkeypatch):
     assert sent.agg(F.sum(size)).first()[0] < 4 * sum(2 * len(t) + 4 for t in texts)
 
 
+def test_substrings_of_copies_travel_once(spark, monkeypatch):
+    """Of a table that is nothing but copies, what is sent stays below its texts' bytes."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("etaoinshrdlu ", k=4000)) for _ in range(40)]
+    docs = spark.createDataFrame([(40 * k + i, t) for k in range(8) for i, t in enumerate(texts)], "doc_id long, text string")
+    dealt, by_number = [], substring_dedup.by_number
+    monkeypatch.setattr(substring_dedup, "by_number", lambda rows, column: dealt.append(rows) or by_number(rows, column))
+    got = substring_dedup.remove(docs)
+    assert sorted((r["doc_id"], r["n_removed"]) for r in got.collect()) == [(i, 4000 * (i >= 40)) for i in range(320)]
+    size = [sum(F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in d.dtypes if kind == "binary") for d in dealt[1:]]
+    assert sum(d.agg(F.sum(n)).first()[0] for d, n in zip(dealt[1:], size)) < 320 * 4000
+
+
 def test_substrings_around_one_phrase(spark):
     """A phrase too short to go, in ever new surroundings, some of which repeat: split and unsplit alike."""
     rng = random.Random(12)
